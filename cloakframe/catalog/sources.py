@@ -1,2 +1,131 @@
-QUERIES = {}
-ORACLES = {}
+"""Scans, sinks, manifests and first checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.patterns import SUSPICIOUS
+from ..session import scratch_path
+from ..sources import audit_log, files, registry, tables
+from .audit import LOG, log
+from .base import r, rounded, table
+from .registry import results
+
+
+def scan_csv(spark, sf):
+    """Round trip through a semicolon-separated file with null tokens."""
+    df = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_custkey") % 5 == 0, "N/A").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
+        F.when(F.col("c_custkey") % 7 == 0, "NULL").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+    )
+    path = scratch_path(spark, "csv")
+    tables.write_csv(df, path, ";")
+    return tables.scan_csv(spark, path)
+
+
+def write_csv(spark, sf):
+    df, path = table(spark, sf, "orders"), scratch_path(spark, "csv")
+    tables.write_csv(df, path)
+    return tables.scan_csv(spark, path, df.schema).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+def normalize_nulls(spark, sf):
+    token = F.element_at(F.array(*[F.lit(t) for t in ("", "NULL", "null", "N/A", "n/a", "NA", " na ", "NaN-text")]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    df = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, token).otherwise(F.col("c_mktsegment")).alias("segment"))
+    return tables.normalize_nulls(df)
+
+
+def scan_json(spark, sf):
+    df, path = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), scratch_path(spark, "json")
+    tables.write_json(df, path)
+    return tables.scan_json(spark, path)
+
+
+def write_json(spark, sf):
+    df, path = table(spark, sf, "customer"), scratch_path(spark, "json")
+    tables.write_json(df, path)
+    return tables.scan_json(spark, path, df.schema)
+
+
+def dataset_store(spark, sf):
+    root = scratch_path(spark, "store")
+    tables.save_dataset(table(spark, sf, "customer"), root, "customers")
+    tables.save_dataset(table(spark, sf, "part"), root, "parts")
+    return tables.load_dataset(spark, root, "parts")
+
+
+def append_audit_log(spark, sf):
+    root = scratch_path(spark, "auditlog")
+    audit_log.append_audit_log(log(spark, sf), root)
+    events = audit_log.read_audit_log(spark, root)
+    return events.select(
+        "id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "user_id", "action", "success", "epsilon", "mechanism",
+    )
+
+
+def registry_tables(spark, sf):
+    root = scratch_path(spark, "registry")
+    registry.write_table(results(spark, sf), root, "anonymization_results")
+    found = registry.read_table(spark, root, "anonymization_results")
+    return rounded(found.select("id", "result_id", "original_file_id", "method", "privacy_score", "epsilon_used", "execution_time", "status"), 10)
+
+
+def file_manifest(spark, sf):
+    return files.content_manifest(table(spark, sf, "pages"), "html", ["page_id"])
+
+
+def document_manifest(spark, sf):
+    return files.content_manifest(table(spark, sf, "documents"), "text", ["doc_id"])
+
+
+def load_gate(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", F.lit(None).cast("string").alias("note"))
+    return rounded(tables.load_gate(df, max_rows=5_000))
+
+
+def table_metadata(spark, sf):
+    return tables.table_metadata(table(spark, sf, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))))
+
+
+def redacted_preview(spark, sf):
+    return tables.redacted_preview(table(spark, sf, "customer"), ["c_custkey"], 25)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_csv, write_csv, normalize_nulls, scan_json, write_json, dataset_store, append_audit_log, registry_tables, file_manifest,
+        document_manifest, load_gate, table_metadata, redacted_preview,
+    )
+}
+
+
+def _manifest(source: str, key: str, text: str) -> str:
+    hits = ", ".join(f"CASE WHEN contains(lower({text}), '{p}') THEN '{p}' END" for p in SUSPICIOUS)
+    return (
+        f"SELECT {key}, octet_length(encode({text}))::BIGINT AS size, sha256({text}) AS sha256, p AS patterns, p <> '' AS suspicious "
+        f"FROM (SELECT *, concat_ws(',', {hits}) AS p FROM {source})"
+    )
+
+
+ORACLES = {
+    "scan_csv": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer",
+    "write_csv": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders",
+    "normalize_nulls": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN c_custkey % 8 = 7 THEN 'NaN-text' END AS segment FROM customer",
+    "scan_json": "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders",
+    "write_json": "SELECT * FROM customer",
+    "dataset_store": "SELECT * FROM part",
+    "append_audit_log": f"WITH {LOG} SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, strftime(timestamp, '%Y-%m-%d') AS date, user_id, action, success, epsilon, mechanism FROM logs",
+    "registry_tables": "SELECT o_orderkey::INT AS id, 'anon_' || o_orderkey AS result_id, o_custkey::INT AS original_file_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'sdg' WHEN '2-HIGH' THEN 'dp' "
+    f"WHEN '3-MEDIUM' THEN 'sdg_dp' WHEN '4-NOT SPECIFIED' THEN 'full' END AS method, {r('CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice / 500000.0::DOUBLE END', 10)} AS privacy_score, "
+    f"{r('(o_orderkey % 20) / 10.0::DOUBLE', 10)} AS epsilon_used, {r('CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 500000.0::DOUBLE * 10 END', 10)} AS execution_time, "
+    "CASE WHEN o_orderstatus = 'P' THEN 'processing' ELSE 'completed' END AS status FROM orders",
+    "file_manifest": _manifest("pages", "page_id", "html"),
+    "document_manifest": _manifest("documents", "doc_id", "text"),
+    "load_gate": "SELECT 'error' AS severity, 'too_many_rows' AS \"check\", count(*)::DOUBLE AS value FROM lineitem HAVING count(*) > 5000 UNION ALL SELECT 'warning', 'empty_columns', 1.0",
+    "table_metadata": "SELECT c AS \"column\", i::INT AS position, t AS type, l AS role, (SELECT count(*) FROM orders) AS rows, CASE WHEN c = 'o_totalprice' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) ELSE 0 END::BIGINT AS missing FROM (VALUES "
+    "('o_orderkey', 0, 'int64', 'numeric'), ('o_custkey', 1, 'int64', 'numeric'), ('o_orderstatus', 2, 'object', 'categorical'), ('o_totalprice', 3, 'float64', 'numeric'), "
+    "('o_orderdate', 4, 'datetime64', 'datetime'), ('o_orderpriority', 5, 'object', 'categorical')) v(c, i, t, l)",
+    "redacted_preview": "SELECT * REPLACE ('[REDACTED]' AS c_name) FROM customer ORDER BY c_custkey LIMIT 25",
+}

@@ -45,9 +45,9 @@ def advantage_level(value: Column, high: float, medium: float) -> Column:
     return F.when(value > high, "high").when(value > medium, "medium").otherwise("low")
 
 
-def level_score(level: Column) -> Column:
-    """What one attack's risk level counts for in the overall risk."""
-    return F.when(level == "high", F.lit(0.8)).when(level == "low", F.lit(0.2)).otherwise(F.lit(0.5))
+def level_tenths(level: Column) -> Column:
+    """What one attack's risk level counts for in the overall risk, in tenths (whole, so sums are exact)."""
+    return F.when(level == "high", F.lit(8)).when(level == "low", F.lit(2)).otherwise(F.lit(5))
 
 
 def risk_level(reidentification: Column, attack: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as roles
 from ..functions.randomness import bits, normal, uniform
-from ..functions.scoring import advantage_level, level_score, messages, record_similarity
+from ..functions.scoring import advantage_level, level_tenths, messages, record_similarity
 from ..session import materialize
 from .columns import Codes, apply_codes, equal_width_bin, fit_codes, fit_scale, impute
 from .domains import MAX_BROADCAST
@@ -419,7 +419,7 @@ def attribute_summary(per_target: DataFrame) -> DataFrame:
 
 def overall_risk(attacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean level score of the attacks; without any, 0.5."""
-    score = F.coalesce(F.avg(level_score(F.col("risk_level"))), F.lit(0.5)).alias("overall_risk_score")
+    score = F.coalesce(F.avg(level_tenths(F.col("risk_level"))) / F.lit(10.0), F.lit(0.5)).alias("overall_risk_score")
     return attacks.groupBy(*by).agg(score) if by else attacks.agg(score)
 
 
