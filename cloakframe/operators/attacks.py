@@ -16,15 +16,15 @@ from ..functions import schema as roles
 from ..functions.randomness import bits, normal, uniform
 from ..functions.scoring import advantage_level, level_tenths, messages, record_similarity
 from ..session import materialize
-from .columns import Codes, apply_codes, equal_width_bin, fit_codes, fit_scale, impute
-from .domains import MAX_BROADCAST
+from .columns import apply_codes, equal_width_bin, fit_codes, fit_scale, impute
+from .domains import MAX_BROADCAST, Domain
 from .joins import lookup
 from .neighbors import nearest
 from .stats import numeric_summary
 
 MEMBERSHIP_SAMPLE = 1_000
 LINK_THRESHOLD = 0.8
-_HISTOGRAM = 4_096
+_MOST_BINS = 4_096
 
 
 # ---- keyed samples -----------------------------------------------------------------
@@ -78,8 +78,8 @@ def auxiliary_sample(df: DataFrame, ratio: float, key: Sequence[str], salt: str)
 
 
 def attack_ready(
-    df: DataFrame, codes_from: DataFrame | None, columns: Sequence[str], codes: dict[str, Codes] | None = None
-) -> tuple[DataFrame, dict[str, Codes]]:
+    df: DataFrame, codes_from: DataFrame | None, columns: Sequence[str], codes: dict[str, Domain] | None = None
+) -> tuple[DataFrame, dict[str, Domain]]:
     """Nulls filled (text ``missing``, numbers median), categories replaced by sorted codes, unseen ones by -1."""
     texts = [c for c in roles.categorical_columns(df) if c in columns]
     numbers = [c for c in roles.numeric_columns(df) if c in columns]
@@ -111,27 +111,29 @@ def linkage_vectors(aux: DataFrame, derived: DataFrame, original: DataFrame, col
         d = d.withColumn(c, F.lit(-1.0))
     scale = fit_scale(a, columns)
     return (
-        a.select(F.col(key).alias("qid"), _unit(columns, scale).alias("vec")),
-        d.select(F.col(key).alias("rid"), _unit(columns, scale).alias("vec")),
+        materialize(a.select(F.col(key).alias("qid"), _unit(columns, scale).alias("vec")), "auxvectors"),
+        materialize(d.select(F.col(key).alias("rid"), _unit(columns, scale).alias("vec")), "refvectors"),
     )
 
 
 def linkage_scores(aux: DataFrame, derived: DataFrame, original: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """``(qid, rid, score)``: the derived row with the highest cosine similarity to each auxiliary row.
+    """``(qid, rid, score)``: the derived row with the highest cosine similarity to each auxiliary row."""
+    return best_links(*linkage_vectors(aux, derived, original, columns, key))
 
-    On unit vectors the largest cosine is the smallest distance, so this is the
-    exact nearest-neighbour join. A row without direction scores 0 with everything.
+
+def best_links(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Best match by cosine. On unit vectors the largest cosine is the smallest distance,
+    so this is the exact nearest-neighbour join. A row without direction scores 0 with everything.
     """
-    queries, refs = linkage_vectors(aux, derived, original, columns, key)
     directed = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0
     found = nearest(queries.filter(directed), refs.filter(directed))
     scored = found.select("qid", "rid", (F.lit(1.0) - F.col("distance") * F.col("distance") / F.lit(2.0)).alias("score"))
-    flat = refs.filter(~directed).agg(F.min("rid").alias("rid")).first()["rid"]
+    lows = refs.agg(F.min("rid").alias("lowest"), F.min(F.when(~directed, F.col("rid"))).alias("flat")).first()
+    flat, lowest = lows["flat"], lows["lowest"]
     if flat is not None:
         better = F.col("score") < 0
         scored = scored.withColumn("rid", F.when(better, F.lit(flat)).otherwise(F.col("rid")))
         scored = scored.withColumn("score", F.greatest("score", F.lit(0.0)))
-    lowest = refs.agg(F.min("rid").alias("rid")).first()["rid"]
     undirected = queries.filter(~directed).select("qid", F.lit(lowest).alias("rid"), F.lit(0.0).alias("score"))
     return scored.unionByName(undirected)
 
@@ -172,8 +174,8 @@ def linkage_risk(
     aux = materialize(auxiliary_sample(original, ratio, [key], salt), "aux")
     queries, refs = linkage_vectors(aux, derived, original, columns, key)
     attempts = min(aux.count(), derived.count())
-    tried = exact_sample(aux, attempts, [key], salt, "aux")
-    best = materialize(linkage_scores(aux, derived, original, columns, key), "links")
+    tried = aux if aux.count() == attempts else exact_sample(aux, attempts, [key], salt, "aux")
+    best = materialize(best_links(queries, refs), "links")
     average = mean_similarity(queries, refs, len(columns))
     links = best.join(prefixed(tried, [key, *columns], "a_"), F.col("qid") == F.col(f"a_{key}"))
     # one derived record may be the best match of very many rows, hence the hot-key lookup
@@ -248,7 +250,8 @@ def membership_features(queries: DataFrame, reference: DataFrame, columns: Seque
     ref = reference.select(
         *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in texts]
     )
-    top = 2.0
+    # about 256 distances per query and bin, between 64 and _MOST_BINS bins
+    top, bins = 2.0, min(_MOST_BINS, max(64, ref.count() // 256))
 
     def blocks(batches):
         for pdf in batches:
@@ -258,13 +261,13 @@ def membership_features(queries: DataFrame, reference: DataFrame, columns: Seque
                 yield _distances(q_num, q_cat, part[numbers].to_numpy(dtype=float).reshape(len(part), len(numbers)), r_cat)
 
     def bin_of(d: np.ndarray) -> np.ndarray:
-        return np.minimum((d * (_HISTOGRAM / top)).astype(np.int64), _HISTOGRAM - 1)
+        return np.minimum((d * (bins / top)).astype(np.int64), bins - 1)
 
     def summarize(batches):
         n, low = 0, np.full(len(ids), np.inf)
         total, square = np.zeros(len(ids)), np.zeros(len(ids))
-        hist = np.zeros(len(ids) * _HISTOGRAM, dtype=np.int64)
-        base = np.arange(len(ids)) * _HISTOGRAM
+        hist = np.zeros(len(ids) * bins, dtype=np.int64)
+        base = np.arange(len(ids)) * bins
         for d in blocks(batches):
             n += len(d)
             low = np.minimum(low, d.min(axis=0))
@@ -274,7 +277,7 @@ def membership_features(queries: DataFrame, reference: DataFrame, columns: Seque
         if not n:
             return
         used = np.flatnonzero(hist)
-        yield pd.DataFrame({"q": used // _HISTOGRAM, "bin": used % _HISTOGRAM, "n": hist[used], "low": 0.0, "s1": 0.0, "s2": 0.0})
+        yield pd.DataFrame({"q": used // bins, "bin": used % bins, "n": hist[used], "low": 0.0, "s1": 0.0, "s2": 0.0})
         yield pd.DataFrame({"q": np.arange(len(ids)), "bin": -1, "n": n, "low": low, "s1": total, "s2": square})
 
     schema = "q bigint, bin bigint, n bigint, low double, s1 double, s2 double"
@@ -294,7 +297,7 @@ def membership_features(queries: DataFrame, reference: DataFrame, columns: Seque
             for rank in (place, min(place + 1, rows - 1)):
                 at = int(np.searchsorted(running, rank, side="right"))
                 wanted.setdefault(int(i), {})[int(hist["bin"].iloc[at])] = int(running[at] - hist["n"].iloc[at])
-    listed = np.zeros((len(ids), _HISTOGRAM), dtype=bool)
+    listed = np.zeros((len(ids), bins), dtype=bool)
     for i, found in wanted.items():
         listed[i, list(found)] = True
 

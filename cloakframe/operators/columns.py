@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as roles
 from ..functions.binning import equal_width_index
+from .domains import MAX_BROADCAST, Domain, fit_domain, indexed, position
 from .joins import lookup
 from .quantiles import modes, quantiles
-from .ranking import global_rank
-from .stats import numeric_summary
-
-MAX_BROADCAST_VALUES = 10_000
+from .stats import numeric_summary, single_row
 
 
 def pseudonym(value: Column, salt: str, buckets: int | None = 10_000) -> Column:
@@ -82,6 +80,8 @@ def impute(
     columns = list(columns or df.columns)
     numbers = [c for c in roles.numeric_columns(df) if c in columns]
     texts = [c for c in roles.text_columns(df) if c in columns]
+    gaps = single_row(df, {c: F.count_if(F.col(c).isNull()) for c in [*numbers, *texts]})
+    numbers, texts = [c for c in numbers if gaps[c]], [c for c in texts if gaps[c]]
     medians = {} if numeric is not None else quantiles(df, numbers, [0.5])
     commonest = {} if text is not None else modes(df, texts)
     fills = {}
@@ -92,6 +92,7 @@ def impute(
     for c in texts:
         value = text if text is not None else commonest[c]
         fills[c] = F.coalesce(F.col(c), F.lit("Unknown" if value is None else value))
+    fills.update({c: F.col(c).cast("double") for c in roles.numeric_columns(df) if c in columns and c not in fills})
     return df.withColumns(fills) if fills else df
 
 
@@ -101,33 +102,22 @@ def datetime_to_epoch(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return df.withColumns({c: F.unix_timestamp(F.col(c).cast("timestamp")) for c in chosen})
 
 
-@dataclass(frozen=True)
-class Codes:
-    """Sorted category -> code, as a table: ``(value, code, n)``."""
-
-    table: DataFrame
-    rows: int
-    total: int
-
-
-def fit_codes(df: DataFrame, column: str, max_broadcast: int = MAX_BROADCAST_VALUES) -> Codes:
-    """Number the distinct values 0..k-1 in sorted order."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    size = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t")).first()
-    k, total = size["k"], size["t"] or 0
-    if k <= max_broadcast:
-        # a window over at most max_broadcast aggregated rows
-        table = counts.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
-    else:
-        table = global_rank(counts, ["value"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
-    return Codes(table, k, total)
-
-
-def apply_codes(df: DataFrame, column: str, codes: Codes, name: str, max_broadcast: int = MAX_BROADCAST_VALUES) -> DataFrame:
-    """Code of each value, -1 when the fit has not seen it."""
-    table = codes.table.select(F.col("value").alias(column), F.col("code").alias(name), "n")
-    joined = lookup(df, column, table, name, "n", codes.total, max_broadcast, codes.rows)
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
+def fit_codes(df: DataFrame, column: str) -> Domain:
+    """The sorted distinct values; a value's code is its 0-based position."""
+    return fit_domain(df, column)
+
+
+def apply_codes(df: DataFrame, column: str, codes: Domain, name: str) -> DataFrame:
+    """Code of each value, -1 when the fit has not seen it.
+
+    A small domain is a literal array, a larger one a broadcast or shuffled lookup.
+    """
+    if codes.values is not None:
+        at = position(codes.values, F.col(column)) if codes.values else F.lit(None).cast("int")
+        return df.withColumn(name, F.coalesce(at, F.lit(-1)).cast("int"))
+    table = indexed(codes).select(F.col("value").alias(column), F.col("idx").alias(name), "n")
+    joined = lookup(df, column, table, name, "n", codes.rows, MAX_BROADCAST, codes.size)
+    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("int"))
 
 
 def label_encode(fit_on: DataFrame, apply_to: DataFrame, column: str, name: str) -> DataFrame:

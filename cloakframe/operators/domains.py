@@ -40,17 +40,15 @@ def fit_domain(df: DataFrame, column: str | Column, max_array: int = MAX_ARRAY)
     value = F.col(column) if isinstance(column, str) else column
     grouped = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     table = grouped.filter(F.col("value").isNotNull())
-    facts = grouped.agg(
-        F.sum(F.col("value").isNotNull().cast("bigint")).alias("k"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
-    ).first()
-    size, rows, nulls = facts["k"] or 0, facts["rows"] or 0, facts["nulls"] or 0
-    values = counts = None
-    if size <= max_array:
-        found = table.orderBy("value").collect()
+    # a top-k over the distinct values: at most max_array + 2 rows reach the driver
+    head = grouped.orderBy(F.col("value").asc_nulls_first()).limit(max_array + 2).collect()
+    nulls = head[0]["n"] if head and head[0]["value"] is None else 0
+    found = [r for r in head if r["value"] is not None]
+    if len(found) <= max_array:
         values, counts = [r["value"] for r in found], [r["n"] for r in found]
-    return Domain(table, size, rows, nulls, values, counts)
+        return Domain(table, len(values), sum(counts), nulls, values, counts)
+    facts = table.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows")).first()
+    return Domain(table, facts["k"], facts["rows"], nulls, None, None)
 
 
 def _literal_array(items: list) -> Column:
@@ -105,18 +103,21 @@ def draw_small(values: list, weights: list[float], u: Column) -> Column:
     return pick(values, F.size(F.filter(_literal_array(running[:-1]), lambda e: e < target)))
 
 
-def draw_large(df: DataFrame, column: str, weighted: DataFrame, u: Column, buckets: int) -> DataFrame:
+def running_weights(weighted: DataFrame) -> DataFrame:
+    """``(value, w)`` with the running weight ``hi``; a weight that underflowed to 0 can never be drawn."""
+    return prefix_sums(weighted.filter(F.col("w") > 0), "value", {"hi": "w"})
+
+
+def draw_large(df: DataFrame, column: str, running: DataFrame, u: Column, buckets: int) -> DataFrame:
     """Inverse CDF over a domain of any size.
 
-    ``weighted`` is ``(value, w)``. The unit interval is cut into ``buckets``;
+    ``running`` is ``(value, w, hi)``. The unit interval is cut into ``buckets``;
     each value's interval is listed once per bucket it touches (at most
     ``buckets + domain`` entries) and rows join on the bucket of their uniform.
     Uniforms fill the buckets evenly, so the join has no hot key even when one
     value holds most of the weight.
     """
-    # a weight that underflowed to 0 can never be drawn
-    running = prefix_sums(weighted.filter(F.col("w") > 0), "value", {"hi": "w"})
-    total = running.agg(F.sum("w").alias("t")).first()["t"]
+    total = running.agg(F.max("hi").alias("t")).first()["t"]
     span = running.select(
         "value", ((F.col("hi") - F.col("w")) / F.lit(total)).alias("lo"), (F.col("hi") / F.lit(total)).alias("hi")
     )

@@ -103,12 +103,10 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=float)
 
 
-def _fit(refs: DataFrame) -> Leaves:
-    n = refs.count()
-    take = F.pmod(F.xxhash64("vec"), F.lit(_HASH_SPACE)) < F.lit(int(_HASH_SPACE * min(1.0, SAMPLE_POINTS / max(n, 1))))
+def _fit(refs: DataFrame, n: int) -> Leaves:
+    take = F.pmod(F.xxhash64("vec"), F.lit(_HASH_SPACE)) < F.lit(int(_HASH_SPACE * min(1.0, SAMPLE_POINTS / n)))
     # about SAMPLE_POINTS distinct vectors, whatever the table's size
-    sample = refs.filter(take).select("vec").toPandas()["vec"]
-    points = _matrix(sample)
+    points = _matrix(refs.filter(take).select("vec").toPandas()["vec"])
     order = np.lexsort(points.T)
     return split_points(points[order], max(1, min(-(-n // LEAF_POINTS), len(points) // 4)))
 
@@ -168,7 +166,14 @@ def nearest(queries: DataFrame, refs: DataFrame, others_only: bool = False) -> D
     # equal points are one point: a vector held by a third of the rows costs one row here
     points = refs.groupBy("vec").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
     points = materialize(points, "points")
-    leaves = _fit(points)
+    n = points.count()
+    if n <= LEAF_POINTS:
+        # everything fits in one leaf: one round answers it
+        alone = queries.select("qid", "vec").withColumn("leaf", F.lit(0))
+        chunks = {0: max(1, -(-queries.count() // CHUNK_QUERIES))}
+        found = _search(alone, points.withColumn("leaf", F.lit(0)), chunks, others_only, types)
+        return found.select("qid", F.sqrt("d2").alias("distance"), "rid")
+    leaves = _fit(points, n)
 
     @F.pandas_udf("int")
     def leaf_of(vec: pd.Series) -> pd.Series:

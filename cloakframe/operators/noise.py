@@ -181,7 +181,7 @@ def exponential_mechanism(
             F.lit(math.exp(-epsilon / (2 * sensitivity) * top)).alias("w"),
         )
         weighted = weighted.unionByName(null_row)
-    return domains.draw_large(df, column, weighted, u, max(1, fitted.size // 64)).select(*df.columns)
+    return domains.draw_large(df, column, domains.running_weights(weighted), u, max(1, fitted.size // 64)).select(*df.columns)
 
 
 def exponential_numeric(

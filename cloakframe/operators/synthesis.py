@@ -96,7 +96,7 @@ def sample_marginals(fit: Marginals, salt: str, spark, n: int | None = None, row
             out = out.withColumn(c, domains.draw_small(d.values, [float(k) for k in d.counts], u))
         else:
             weighted = d.table.select("value", F.col("n").cast("double").alias("w"))
-            out = domains.draw_large(out, c, weighted, u, max(1, d.size // 64))
+            out = domains.draw_large(out, c, domains.running_weights(weighted), u, max(1, d.size // 64))
     return out.select(*([ROW] if row_id else []), *fit.columns)
 
 
@@ -132,7 +132,7 @@ def fit_gaussian_copula(df: DataFrame) -> Copula:
     # lift the smallest eigenvalue, so that rounding cannot make the matrix indefinite
     values, vectors = np.linalg.eigh(matrix)
     factor = np.linalg.cholesky(vectors @ np.diag(np.maximum(values, 1e-10)) @ vectors.T + 1e-12 * np.eye(len(numbers)))
-    inverse = ranks.select("column", "value", F.col("n").cast("double").alias("w"))
+    inverse = running.select("column", "value", F.col("n").cast("double").alias("w"), F.col("cum").cast("double").alias("hi"))
     return Copula(fit_marginals(df), numbers, factor.tolist(), inverse)
 
 
@@ -179,9 +179,8 @@ def sample_gaussian_copula(fit: Copula, salt: str, spark, n: int | None = None)
         mixed = sum((z[j] * F.lit(fit.factor[i][j]) for j in range(i + 1)), F.lit(0.0))
         out = out.withColumn(f"_u{i}", F.least(normal_cdf(mixed), F.lit(1.0 - 1e-16)))
     for i, c in enumerate(fit.columns):
-        weighted = fit.inverse.filter(F.col("column") == c).select("value", "w")
-        cells = max(1, (fit.marginals.rows // 64))
-        out = domains.draw_large(out, c, weighted, F.col(f"_u{i}"), cells)
+        running = fit.inverse.filter(F.col("column") == c).select("value", "w", "hi")
+        out = domains.draw_large(out, c, running, F.col(f"_u{i}"), max(1, fit.marginals.rows // 64))
     return out.select(*fit.marginals.columns)
 
 

@@ -47,7 +47,10 @@ def protect(
     suppression_threshold: float = 0.05,
     mechanism: str = "gaussian",
 ) -> DataFrame:
-    """The protected table. Steps of the name apply in order: sdg, then dp, then sdc; ``full`` is all three."""
+    """The protected table. Steps of the name apply in order: sdg, then dp, then sdc; ``full`` is all three.
+
+    A step that is followed by another is written once, because the next one reads it several times.
+    """
     check_parameters(epsilon, delta, method)
     steps = ["sdg", "dp", "sdc"] if method == "full" else method.split("_")
     columns = [c for c in df.columns if c != key]
@@ -55,8 +58,10 @@ def protect(
     if "sdg" in steps:
         drawn = sample_marginals(fit_marginals(prepare(df.select(*columns))), salt, df.sparkSession, row_id=True)
         out = drawn.select(F.col(ROW).cast(df.schema[key].dataType).alias(key), *columns)
+        out = materialize(out, "synthetic") if len(steps) > 1 else out
     if "dp" in steps:
         out = apply_dp(out, epsilon, delta, [key], salt, mechanism, columns=columns)
+        out = materialize(out, "noisy") if "sdc" in steps else out
     if "sdc" in steps:
         out = sdc(out, quasi_identifiers, sensitive, [key], k, suppression_threshold)
     return out
