@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as roles
@@ -17,14 +15,13 @@ from ..functions.randomness import bits, normal, uniform
 from ..functions.scoring import advantage_level, level_tenths, messages, record_similarity
 from ..session import materialize
 from .columns import apply_codes, equal_width_bin, fit_codes, fit_scale, impute
+from .distances import MEMBERSHIP_SAMPLE, membership_features
 from .domains import MAX_BROADCAST, Domain
 from .joins import lookup
 from .neighbors import nearest
 from .stats import numeric_summary
 
-MEMBERSHIP_SAMPLE = 1_000
 LINK_THRESHOLD = 0.8
-_MOST_BINS = 4_096
 
 
 # ---- keyed samples -----------------------------------------------------------------
@@ -215,134 +212,6 @@ def non_member_rows(df: DataFrame, n: int, salt: str, columns: Sequence[str] | N
     return out
 
 
-def _distances(q_num: np.ndarray, q_cat: list[np.ndarray], r_num: np.ndarray, r_cat: list[np.ndarray]) -> np.ndarray:
-    """Record distances of a block of reference rows (rows) to every query (columns)."""
-    total = np.zeros((r_num.shape[0] if r_num.size else len(r_cat[0]), q_num.shape[0] if q_num.size else len(q_cat[0])))
-    for j in range(q_num.shape[1]):
-        a, b = q_num[None, :, j], r_num[:, j : j + 1]
-        d = np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-8)
-        total += np.where(np.isnan(d), 1.0, d)
-    for qc, rc in zip(q_cat, r_cat):
-        total += (rc[:, None] != qc[None, :]).astype(float)
-    return total / (q_num.shape[1] + len(q_cat))
-
-
-def membership_features(queries: DataFrame, reference: DataFrame, columns: Sequence[str], query_id: str) -> DataFrame:
-    """Per query: min, mean, population deviation and quartiles of its distance to every reference row.
-
-    The queries are a bounded sample (at most ``2 * MEMBERSHIP_SAMPLE``, checked)
-    shipped to the tasks; the reference streams past them. The first pass sums
-    and bins the distances, the second lists only the distances that fall in the
-    bins around the quartile ranks. No pair of rows is ever shuffled.
-    """
-    q = queries.select(query_id, *columns).toPandas() if queries.count() <= 2 * MEMBERSHIP_SAMPLE else None
-    if q is None:
-        raise ValueError("membership features are measured on a sample of queries")
-    shared = [c for c in columns if c in reference.columns]
-    numbers = [
-        c for c in shared if roles.is_numeric(queries.schema[c].dataType) and roles.is_numeric(reference.schema[c].dataType)
-    ]
-    texts = [c for c in shared if c not in numbers]
-    ids = q[query_id].to_numpy()
-    q_num = q[numbers].to_numpy(dtype=float).reshape(len(q), len(numbers))
-    # a null equals nothing, on either side
-    q_cat = [q[c].map(lambda v, t=c: f"?{t}" if v is None else f"={v}").to_numpy() for c in texts]
-    ref = reference.select(
-        *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in texts]
-    )
-    # about 256 distances per query and bin, between 64 and _MOST_BINS bins
-    top, bins = 2.0, min(_MOST_BINS, max(64, ref.count() // 256))
-
-    def blocks(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), 2048):
-                part = pdf.iloc[start : start + 2048]
-                r_cat = [part[c].map(lambda v: "!" if v is None else f"={v}").to_numpy() for c in texts]
-                yield _distances(q_num, q_cat, part[numbers].to_numpy(dtype=float).reshape(len(part), len(numbers)), r_cat)
-
-    def bin_of(d: np.ndarray) -> np.ndarray:
-        return np.minimum((d * (bins / top)).astype(np.int64), bins - 1)
-
-    def summarize(batches):
-        n, low = 0, np.full(len(ids), np.inf)
-        total, square = np.zeros(len(ids)), np.zeros(len(ids))
-        hist = np.zeros(len(ids) * bins, dtype=np.int64)
-        base = np.arange(len(ids)) * bins
-        for d in blocks(batches):
-            n += len(d)
-            low = np.minimum(low, d.min(axis=0))
-            total += d.sum(axis=0)
-            square += (d * d).sum(axis=0)
-            hist += np.bincount((bin_of(d) + base[None, :]).ravel(), minlength=len(hist))
-        if not n:
-            return
-        used = np.flatnonzero(hist)
-        yield pd.DataFrame({"q": used // bins, "bin": used % bins, "n": hist[used], "low": 0.0, "s1": 0.0, "s2": 0.0})
-        yield pd.DataFrame({"q": np.arange(len(ids)), "bin": -1, "n": n, "low": low, "s1": total, "s2": square})
-
-    schema = "q bigint, bin bigint, n bigint, low double, s1 double, s2 double"
-    partial = ref.mapInPandas(summarize, schema)
-    # queries x bins rows at most, whatever the reference holds
-    merged = partial.groupBy("q", "bin").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")
-    )
-    merged = merged.toPandas().sort_values(["q", "bin"])
-    moments = merged[merged["bin"] == -1].set_index("q")
-    rows = int(moments["n"].iloc[0])
-    wanted: dict[int, dict[int, int]] = {}
-    for i, hist in merged[merged["bin"] >= 0].groupby("q"):
-        running = hist["n"].cumsum().to_numpy()
-        for p in (0.25, 0.75):
-            place = int(p * (rows - 1))
-            for rank in (place, min(place + 1, rows - 1)):
-                at = int(np.searchsorted(running, rank, side="right"))
-                wanted.setdefault(int(i), {})[int(hist["bin"].iloc[at])] = int(running[at] - hist["n"].iloc[at])
-    listed = np.zeros((len(ids), bins), dtype=bool)
-    for i, found in wanted.items():
-        listed[i, list(found)] = True
-
-    def listing(batches):
-        for d in blocks(batches):
-            b = bin_of(d)
-            keep = listed[np.arange(len(ids))[None, :], b]
-            if keep.any():
-                who = np.broadcast_to(np.arange(len(ids)), d.shape)[keep]
-                pdf = pd.DataFrame({"q": who, "bin": b[keep], "d": d[keep]})
-                yield pdf.groupby(["q", "bin", "d"], as_index=False).size().rename(columns={"size": "n"})
-
-    counted = ref.mapInPandas(listing, "q bigint, bin bigint, d double, n bigint").groupBy("q", "bin", "d").agg(F.sum("n").alias("n"))
-    return _quartiles(counted, moments, wanted, rows, ids, query_id, queries.schema[query_id].dataType.simpleString())
-
-
-def _quartiles(counted, moments, wanted, rows, ids, query_id, id_type):
-    spark = counted.sparkSession
-    ranks = []
-    for i, bins in wanted.items():
-        for name, p in (("p25", 0.25), ("p75", 0.75)):
-            place = p * (rows - 1)
-            for side, rank in (("lo", int(place)), ("hi", min(int(place) + 1, rows - 1))):
-                ranks.append((i, name, side, rank))
-    offsets = spark.createDataFrame([(i, b, start) for i, bins in wanted.items() for b, start in bins.items()], "q bigint, bin bigint, start bigint")
-    ranks = spark.createDataFrame(ranks, "q bigint, name string, side string, r bigint")
-    # one window group per (query, bin): about rows / 4096 distances
-    inside = Window.partitionBy("q", "bin").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(F.broadcast(offsets), ["q", "bin"]).withColumn("cum", F.col("start") + F.sum("n").over(inside))
-    hits = placed.join(F.broadcast(ranks), "q").filter((F.col("r") < F.col("cum")) & (F.col("r") >= F.col("cum") - F.col("n")))
-    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("d")))
-    quart = hits.groupBy("q").agg(*[pick(n, s).alias(f"{n}_{s}") for n in ("p25", "p75") for s in ("lo", "hi")])
-    facts = [
-        (int(i), ids[int(i)].item() if hasattr(ids[int(i)], "item") else ids[int(i)], float(m["low"]), float(m["s1"] / rows),
-         float(np.sqrt(max(0.0, m["s2"] / rows - (m["s1"] / rows) ** 2))))
-        for i, m in moments.iterrows()
-    ]
-    base = spark.createDataFrame(facts, f"q bigint, {query_id} {id_type}, d_min double, d_mean double, d_std double")
-    share = {n: p * (rows - 1) - int(p * (rows - 1)) for n, p in (("p25", 0.25), ("p75", 0.75))}
-    return base.join(quart, "q").select(
-        query_id, "d_min", "d_mean", "d_std",
-        *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.lit(share[n])).alias(f"d_{n}") for n in ("p25", "p75")],
-    )
-
-
 FEATURES = ["d_min", "d_mean", "d_std", "d_p25", "d_p75"]
 
 

@@ -23,6 +23,7 @@ LEAF_POINTS = 4_096
 CHUNK_QUERIES = 4_096
 _HASH_SPACE = 1 << 30
 _BLOCK = 512
+_BLOCK_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -117,16 +118,17 @@ def _closest(points: pd.DataFrame, refs: pd.DataFrame, others_only: bool) -> pd.
     best, who = np.empty(len(q)), np.empty(len(q), dtype=rid.dtype)
     order = np.argsort(rid, kind="stable")
     r, rid, single = r[order], rid[order], single[order]
-    for start in range(0, len(q), _BLOCK):
-        block = q[start : start + _BLOCK]
+    step = max(1, min(_BLOCK, _BLOCK_CELLS // len(r)))
+    for start in range(0, len(q), step):
+        block = q[start : start + step]
         d2 = np.zeros((len(block), len(r)))
         for j in range(q.shape[1]):
             d2 += (block[:, j : j + 1] - r[None, :, j]) ** 2
         if others_only:
             d2[(d2 == 0.0) & single[None, :]] = np.inf
         at = d2.argmin(axis=1)
-        best[start : start + _BLOCK] = d2[np.arange(len(block)), at]
-        who[start : start + _BLOCK] = rid[at]
+        best[start : start + step] = d2[np.arange(len(block)), at]
+        who[start : start + step] = rid[at]
     return pd.DataFrame({"qid": points["qid"].to_numpy(), "d2": best, "rid": who})
 
 

@@ -13,15 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_width
+from ..session import materialize
 
 _LOW_BITS = 33
 
 
 def _ordered(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
-    n = partitions or shuffle_width(df.sparkSession)
+    # without a number, adaptive execution merges small neighbouring ranges
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )

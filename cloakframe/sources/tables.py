@@ -52,7 +52,7 @@ def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
     """(delimiter, encoding): the delimiter that occurs equally often on the first lines, most often on ties."""
     lines = [r["value"] for r in spark.read.text(path).limit(_SNIFF_LINES).collect()]
     lines = [line for line in lines if line.strip()]
-    encoding = "latin-1" if any("�" in line for line in lines) else "utf-8"
+    encoding = "iso-8859-1" if any("�" in line for line in lines) else "utf-8"
     best, score = ",", (-1.0, 0)
     for d in DELIMITERS:
         counts = [line.count(d) for line in lines]
