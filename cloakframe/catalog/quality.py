@@ -23,14 +23,14 @@ def check_structure(spark, sf):
     return ops.check_structure(few)
 
 
-def text_kinds(spark, sf):
+def infer_text_kind(spark, sf):
     df = table(spark, sf, "orders").select(
         F.concat(F.lit("$"), F.col("o_custkey"), F.lit(",000")).alias("money"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("either"),
         "o_orderstatus",
     )
-    return rounded(ops.text_kinds(df))
+    return rounded(ops.infer_text_kind(df))
 
 
 def _gappy(spark, sf):
@@ -70,14 +70,14 @@ def duplicate_rows(spark, sf):
     return ops.duplicate_rows(_lines(spark, sf))
 
 
-def sensitive_columns(spark, sf):
+def detect_sensitive_columns(spark, sf):
     digits = F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0")
     df = table(spark, sf, "customer").select(
         "c_name", "c_mktsegment", F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@example.com")).alias("contact"),
         F.concat(F.lit("(555) 123-"), digits).alias("line"), F.concat(F.lit("K-"), F.col("c_custkey")).alias("code"), "c_acctbal",
         F.col("c_nationkey").alias("customer_age"),
     )
-    return ops.sensitive_columns(df)
+    return ops.detect_sensitive_columns(df)
 
 
 def _events(spark, sf):
@@ -150,7 +150,7 @@ def quality_recommendations(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        check_structure, text_kinds, missing_columns, constant_columns, high_cardinality_columns, duplicate_rows, sensitive_columns,
+        check_structure, infer_text_kind, missing_columns, constant_columns, high_cardinality_columns, duplicate_rows, detect_sensitive_columns,
         zscore_outliers, skewed_columns, validate_schema, violating_rows, validate_dataset, validation_recommendations, completeness_score,
         uniqueness_score, casing_consistency, casing_issues, iqr_outliers, quality_report, quality_recommendations,
     )
@@ -210,7 +210,7 @@ _ADVICE = [
 ORACLES = {
     "check_structure": "WITH n AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer) "
     + _find("few_rows", None, "warning", "n", "FROM n WHERE n >= 2 AND n < 10") + " UNION ALL " + _find("unnamed_columns", None, "warning", "1", "FROM n"),
-    "text_kinds": "SELECT 'money' AS \"column\", 1.0::DOUBLE AS numeric_share, 0.0::DOUBLE AS date_share, 'numeric' AS kind, false AS mixed UNION ALL "
+    "infer_text_kind": "SELECT 'money' AS \"column\", 1.0::DOUBLE AS numeric_share, 0.0::DOUBLE AS date_share, 'numeric' AS kind, false AS mixed UNION ALL "
     "SELECT 'day', 0.0, 1.0, 'datetime', false UNION ALL SELECT 'either', s, 0.0, CASE WHEN s > 0.8 THEN 'numeric' ELSE 'text' END, true FROM "
     f"(SELECT {r('count(*) FILTER (o_orderkey % 2 = 0) / count(*)::DOUBLE')} AS s FROM orders) UNION ALL SELECT 'o_orderstatus', 0.0, 0.0, 'text', false",
     "missing_columns": f"WITH g AS ({GAPPY}) SELECT \"column\", {r('s')} AS missing_ratio FROM (SELECT unnest(['c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment']) AS \"column\", "
@@ -218,7 +218,7 @@ ORACLES = {
     "constant_columns": f"WITH g AS ({GAPPY}) SELECT \"column\" FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n FROM g" for c in _CHECKS) + ") WHERE n <= 1",
     "high_cardinality_columns": f"WITH g AS ({GAPPY}) SELECT \"column\", {r('s')} AS distinct_ratio FROM (" + " UNION ALL ".join(_SHARE.format(c=c) for c in _CHECKS) + ") WHERE s > 0.95",
     "duplicate_rows": f"SELECT {_DUPES} AS duplicate_rows, count(*) AS rows FROM lineitem",
-    "sensitive_columns": "SELECT 'c_name' AS \"column\", 'sensitive_keyword_in_name' AS reason, 'high' AS confidence UNION ALL SELECT 'customer_age', 'sensitive_keyword_in_name', 'high' UNION ALL "
+    "detect_sensitive_columns": "SELECT 'c_name' AS \"column\", 'sensitive_keyword_in_name' AS reason, 'high' AS confidence UNION ALL SELECT 'customer_age', 'sensitive_keyword_in_name', 'high' UNION ALL "
     f"SELECT 'contact', 'email_pattern', 'high' FROM customer HAVING count(*) FILTER (regexp_matches('user' || c_custkey || '@example.com', {_EMAIL})) > count(*) * 0.5 UNION ALL "
     "SELECT 'line', 'phone_pattern', 'high' UNION ALL SELECT 'code', 'potential_identifier', 'medium' FROM customer HAVING count(DISTINCT c_custkey) / count(*)::DOUBLE > 0.9",
     "zscore_outliers": f"WITH e AS ({EVENTS}) " + " UNION ALL ".join(

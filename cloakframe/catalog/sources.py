@@ -9,7 +9,8 @@ from ..session import scratch_path
 from ..sources import audit_log, files, registry, tables
 from .audit import LOG, log
 from .base import r, rounded, table
-from .registry import results
+from .registry import assessments, results
+from .registry import files as uploaded
 
 
 def scan_csv(spark, sf):
@@ -65,10 +66,24 @@ def append_audit_log(spark, sf):
 
 
 def registry_tables(spark, sf):
+    """Write the six tables under their schemas and read them back."""
     root = scratch_path(spark, "registry")
-    registry.write_table(results(spark, sf), root, "anonymization_results")
-    found = registry.read_table(spark, root, "anonymization_results")
-    return rounded(found.select("id", "result_id", "original_file_id", "method", "privacy_score", "epsilon_used", "execution_time", "status"), 10)
+    events = log(spark, sf).withColumn("id", F.col("id").cast("int"))
+    filled = {
+        "uploaded_files": uploaded(spark, sf),
+        "anonymization_results": results(spark, sf),
+        "privacy_assessments": assessments(spark, sf).withColumnRenamed("linkage_attack_score", "overall_score").withColumn("id", F.col("result_id")),
+        "audit_logs": events.withColumn("event_type", F.col("action")).withColumn("epsilon_consumed", F.col("epsilon")),
+        "system_settings": table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("key"), F.col("p_brand").alias("value")),
+        "privacy_budgets": table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("session_id"), F.col("c_acctbal").alias("used_epsilon")),
+    }
+    out = None
+    for name, df in filled.items():
+        registry.write_table(df, root, name)
+        back = registry.read_table(spark, root, name)
+        one = back.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.lit(len(back.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def file_manifest(spark, sf):
@@ -117,10 +132,13 @@ ORACLES = {
     "write_json": "SELECT * FROM customer",
     "dataset_store": "SELECT * FROM part",
     "append_audit_log": f"WITH {LOG} SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, strftime(timestamp, '%Y-%m-%d') AS date, user_id, action, success, epsilon, mechanism FROM logs",
-    "registry_tables": "SELECT o_orderkey::INT AS id, 'anon_' || o_orderkey AS result_id, o_custkey::INT AS original_file_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'sdg' WHEN '2-HIGH' THEN 'dp' "
-    f"WHEN '3-MEDIUM' THEN 'sdg_dp' WHEN '4-NOT SPECIFIED' THEN 'full' END AS method, {r('CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice / 500000.0::DOUBLE END', 10)} AS privacy_score, "
-    f"{r('(o_orderkey % 20) / 10.0::DOUBLE', 10)} AS epsilon_used, {r('CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 500000.0::DOUBLE * 10 END', 10)} AS execution_time, "
-    "CASE WHEN o_orderstatus = 'P' THEN 'processing' ELSE 'completed' END AS status FROM orders",
+    "registry_tables": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", count(*) AS rows, sum({key})::BIGINT AS ids, {width} AS columns FROM {source}"
+        for name, source, key, width in (
+            ("uploaded_files", "customer", "c_custkey", 9), ("anonymization_results", "orders", "o_orderkey", 18), ("privacy_assessments", "lineitem", "l_orderkey", 11),
+            ("audit_logs", "events", "event_id", 14), ("system_settings", "part", "p_partkey", 7), ("privacy_budgets", "customer", "c_custkey", 10),
+        )
+    ),
     "file_manifest": _manifest("pages", "page_id", "html"),
     "document_manifest": _manifest("documents", "doc_id", "text"),
     "load_gate": "SELECT 'error' AS severity, 'too_many_rows' AS \"check\", count(*)::DOUBLE AS value FROM lineitem HAVING count(*) > 5000 UNION ALL SELECT 'warning', 'empty_columns', 1.0",

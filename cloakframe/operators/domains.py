@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schema as roles
 from .joins import lookup
 from .ranking import global_rank, prefix_sums
 
@@ -40,6 +41,9 @@ def fit_domain(df: DataFrame, column: str | Column, max_array: int = MAX_ARRAY)
     value = F.col(column) if isinstance(column, str) else column
     grouped = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     table = grouped.filter(F.col("value").isNotNull())
+    if roles.is_temporal(grouped.schema["value"].dataType):
+        # times stay in a table: literals would pass through the driver's time zone
+        max_array = -1
     # a top-k over the distinct values: at most max_array + 2 rows reach the driver
     head = grouped.orderBy(F.col("value").asc_nulls_first()).limit(max_array + 2).collect()
     nulls = head[0]["n"] if head and head[0]["value"] is None else 0
@@ -48,7 +52,7 @@ def fit_domain(df: DataFrame, column: str | Column, max_array: int = MAX_ARRAY)
         values, counts = [r["value"] for r in found], [r["n"] for r in found]
         return Domain(table, len(values), sum(counts), nulls, values, counts)
     facts = table.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows")).first()
-    return Domain(table, facts["k"], facts["rows"], nulls, None, None)
+    return Domain(table, facts["k"], facts["rows"] or 0, nulls, None, None)
 
 
 def _literal_array(items: list) -> Column:

@@ -134,12 +134,16 @@ def _closest(points: pd.DataFrame, refs: pd.DataFrame, others_only: bool) -> pd.
 
 def _search(points: DataFrame, refs: DataFrame, leaf_chunks: dict[int, int], others_only: bool, types: tuple[str, str]):
     """One round: ``points(qid, vec, leaf)`` against ``refs(rid, vec, copies, leaf)``."""
-    spark = points.sparkSession
-    sizes = spark.createDataFrame(list(leaf_chunks.items()), "leaf int, chunks int")
-    # one row per leaf: at most SAMPLE_POINTS / 4
-    sizes = F.broadcast(sizes)
-    left = points.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-    right = refs.join(sizes, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    if len(leaf_chunks) == 1 and 0 in leaf_chunks:
+        # one leaf: its chunk count is a constant, nothing to join
+        left, right = points.withColumn("chunks", F.lit(leaf_chunks[0])), refs.withColumn("chunks", F.lit(leaf_chunks[0]))
+        left, right = left.filter(F.col("leaf") == 0), right.filter(F.col("leaf") == 0)
+    else:
+        # one row per leaf: at most SAMPLE_POINTS / 4
+        sizes = F.broadcast(points.sparkSession.createDataFrame(list(leaf_chunks.items()), "leaf int, chunks int"))
+        left, right = points.join(sizes, "leaf"), refs.join(sizes, "leaf")
+    left = left.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):

@@ -65,7 +65,7 @@ def looks_like_date(c: Column) -> Column:
     return hit
 
 
-def text_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def infer_text_kind(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column the shares of numeric-like and date-like values and the resulting kind.
 
     ``mixed`` marks a column whose values are of more than one kind.
@@ -129,7 +129,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
-def sensitive_columns(df: DataFrame) -> DataFrame:
+def detect_sensitive_columns(df: DataFrame) -> DataFrame:
     """``(column, reason, confidence)``; the first rule that holds wins."""
     texts = set(roles.text_columns(df))
     named = [c for c in df.columns if any(k in c.lower() for k in patterns.SENSITIVE_NAMES)]
@@ -243,13 +243,13 @@ def validate_dataset(df: DataFrame, rules: dict | None = None) -> DataFrame:
             duplicate_rows(df).filter("duplicate_rows > 0").withColumn("column", F.lit(None).cast("string")),
             "duplicate_rows", F.col("duplicate_rows"),
         ),
-        sensitive_columns(df).select(
+        detect_sensitive_columns(df).select(
             F.concat(F.lit("sensitive:"), F.col("reason")).alias("check"), "column",
             F.lit("warning").alias("severity"), F.when(F.col("confidence") == "high", 1.0).otherwise(0.5).alias("value"),
         ),
     ]
     if roles.text_columns(df):
-        kinds = text_kinds(df)
+        kinds = infer_text_kind(df)
         parts.append(warn(kinds.filter("mixed"), "mixed_types", F.lit(1)))
         stored = kinds.filter("kind <> 'text'")
         parts.append(stored.select(F.concat(F.lit("might_be_"), F.col("kind")).alias("check"), "column", F.lit("warning").alias("severity"), F.greatest("numeric_share", "date_share").alias("value")))

@@ -168,6 +168,14 @@ def test_randomized_response_keep_rate(spark, k):
     assert out.filter("w is null").count() == 0
 
 
+def test_randomized_response_on_times_and_booleans(spark):
+    at = F.timestamp_seconds(F.col("id") % 3 * 86_400).cast("timestamp_ntz")
+    df = spark.range(600).select("id", at.alias("t"), (F.col("id") % 2 == 0).alias("b"))
+    out = noise.gaussian_mechanism(df, 0.5, 1e-5, ["id"], "s")
+    assert out.dtypes == df.dtypes and out.select("t").distinct().count() == 3 and out.select("b").distinct().count() == 2
+    assert 0 < df.join(out.withColumnRenamed("t", "w"), "id").filter("t <> w").count() < 600
+
+
 def test_randomized_response_with_one_value_changes_nothing(spark):
     df = frame(spark, [(1, "a"), (2, "a")], "k int, v string")
     assert values(noise.randomized_response(df, "v", 1.0, ["k"], "s")) == ["a", "a"]
@@ -325,7 +333,7 @@ def test_all_null_rows_are_duplicates(spark):
 
 def test_text_kinds(spark):
     df = frame(spark, [("$1,200", "2024-01-02"), ("5%", "01/02/2024"), ("abc", "x")], "n string, d string")
-    rows = {r["column"]: r for r in quality.text_kinds(df).collect()}
+    rows = {r["column"]: r for r in quality.infer_text_kind(df).collect()}
     assert rows["n"]["kind"] == "text" and rows["n"]["mixed"] and rows["n"]["numeric_share"] == pytest.approx(2 / 3)
     assert rows["d"]["date_share"] == pytest.approx(2 / 3)
 
