@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.times import moment
 from ..operators import registry as ops
 from .base import r, rounded, table
 
@@ -18,7 +19,7 @@ def files(spark, sf):
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("original_filename"), (F.col("c_nationkey") * 100 + 1).alias("file_size"),
         F.lit("uploaded").alias("status"),
-        F.timestamp_seconds(F.lit(1_000_000_000) + F.col("c_custkey") * 61 % 5_000_000).cast("timestamp_ntz").alias("upload_timestamp"),
+        (moment(datetime(2001, 9, 9, 1, 46, 40)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("c_custkey") * 61 % 5_000_000)).alias("upload_timestamp"),
         F.when(F.col("c_custkey") % 4 != 0, F.struct(F.col("c_nationkey").alias("rows"), F.array(F.col("c_name")).alias("columns"), (F.col("c_custkey") % 9).cast("int").alias("column_count"))).alias("file_metadata"),
     )
 

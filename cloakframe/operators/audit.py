@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import moment
 from .budget import MAX_EPSILON
 from .quantiles import at_ranks, running_counts
 
@@ -26,7 +27,7 @@ def in_range(logs: DataFrame, start: datetime | None, end: datetime | None) -> D
     for bound, op in ((start, ">="), (end, "<=")):
         if bound is None:
             continue
-        at = F.lit(bound).cast(logs.schema["timestamp"].dataType)
+        at = moment(bound, logs.schema["timestamp"].dataType)
         out = out.filter(F.col("timestamp") >= at if op == ">=" else F.col("timestamp") <= at)
         if "date" in logs.columns:
             day = F.lit(bound.date())
@@ -202,7 +203,7 @@ def retention_cutoff(as_of: datetime, retention_days: int) -> datetime:
 def retention_cleanup(logs: DataFrame, as_of: datetime, retention_days: int = 90) -> DataFrame:
     """Events strictly newer than the cut-off."""
     cut = retention_cutoff(as_of, retention_days)
-    out = logs.filter(F.col("timestamp") > F.lit(cut).cast(logs.schema["timestamp"].dataType))
+    out = logs.filter(F.col("timestamp") > moment(cut, logs.schema["timestamp"].dataType))
     return out.filter(F.col("date") >= F.lit(cut.date())) if "date" in logs.columns else out
 
 
@@ -236,7 +237,7 @@ def audit_statistics(logs: DataFrame, as_of: datetime, days: int = 30, top: int
 
 def recent_status(logs: DataFrame, as_of: datetime) -> DataFrame:
     """Totals, last 24 hours, sessions with spending, health words."""
-    since = F.lit(as_of - timedelta(hours=24)).cast(logs.schema["timestamp"].dataType)
+    since = moment(as_of - timedelta(hours=24), logs.schema["timestamp"].dataType)
     spending = F.col("epsilon").isNotNull() | F.col("delta").isNotNull()
     out = logs.agg(
         F.count(F.lit(1)).alias("total_logs_stored"), F.count_if(F.col("timestamp") > since).alias("logs_last_24h"),

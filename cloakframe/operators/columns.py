@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as roles
 from ..functions.binning import equal_width_index
+from ..functions.times import epoch_seconds
 from .domains import MAX_BROADCAST, Domain, fit_domain, indexed, position
 from .joins import lookup
 from .quantiles import modes, quantiles
@@ -99,7 +100,7 @@ def impute(
 def datetime_to_epoch(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Timestamps to whole epoch seconds (UTC)."""
     chosen = columns or roles.temporal_columns(df)
-    return df.withColumns({c: F.unix_timestamp(F.col(c).cast("timestamp")) for c in chosen})
+    return df.withColumns({c: epoch_seconds(F.col(c), df.schema[c].dataType) for c in chosen})
 
 
 def fit_codes(df: DataFrame, column: str) -> Domain:

@@ -70,20 +70,22 @@ def randomized_response(
     ``domain`` supplies the values (needed for streams); otherwise the distinct
     values are read from the column, a null counting as one of them.
     """
-    u_keep, u_pick = uniform(salt, f"rr:{column}", key, 0), uniform(salt, f"rr:{column}", key, 1)
     fitted = None if domain is not None else domains.fit_domain(df, column, max_array)
     values = list(domain) if domain is not None else fitted.values
     k = len(values) if domain is not None else fitted.k
     if k <= 1:
         return df
-    keep = u_keep < F.lit(math.exp(epsilon) / (math.exp(epsilon) + k - 1))
-    drawn = F.floor(u_pick * F.lit(k - 1)).cast("bigint")
+    # one projection of its own, so that the digest behind both draws is computed once per cell
+    stay = uniform(salt, f"rr:{column}", key, 0) < F.lit(math.exp(epsilon) / (math.exp(epsilon) + k - 1))
+    pick = F.floor(uniform(salt, f"rr:{column}", key, 1) * F.lit(k - 1)).cast("bigint")
+    drawn = df.withColumn("_rr", F.struct(stay.alias("keep"), pick.alias("drawn")))
+    keep, number = F.col("_rr.keep"), F.col("_rr.drawn")
     if values is None:
-        target = drawn + (drawn >= F.col("_own")).cast("bigint")
-        return domains.flip_large(df, column, fitted, target, keep, "_own")
+        target = number + (number >= F.col("_own")).cast("bigint")
+        return domains.flip_large(drawn, column, fitted, target, keep, "_own").select(*df.columns)
     own = F.coalesce(domains.position(values, F.col(column)), F.lit(len(values)))
-    new = domains.pick(values, drawn + (drawn >= own).cast("int"))
-    return df.withColumn(column, F.when(keep, F.col(column)).otherwise(new))
+    new = domains.pick(values, number + (number >= own).cast("int"))
+    return drawn.withColumn(column, F.when(keep, F.col(column)).otherwise(new)).select(*df.columns)
 
 
 def _noisy(df, columns, epsilon, key, salt, bounds, split, noise_for, domains_for):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import compliance_flags, messages, risk_level
+from ..functions.times import micros_between, moment
 from .budget import MAX_EPSILON, with_remaining
 
 COMPLETED = "completed"
@@ -81,9 +82,8 @@ def summary_recommendations(results: DataFrame, attack: str = "overall_risk_scor
 
 def _windows(results: DataFrame, start: datetime, count: int, width: timedelta) -> DataFrame:
     """Completed results with the number 0..count-1 of their window after ``start``."""
-    at = F.lit(start).cast("timestamp")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    slot = F.floor((micros(F.col("created_timestamp")) - micros(at)) / F.lit(int(width.total_seconds() * 1_000_000)))
+    since = micros_between(moment(start), F.col("created_timestamp").cast("timestamp_ntz"))
+    slot = F.floor(since / F.lit(int(width.total_seconds() * 1_000_000)))
     tagged = _completed(results).withColumn("slot", slot)
     return tagged.filter((F.col("slot") >= 0) & (F.col("slot") < count))
 
@@ -135,7 +135,7 @@ def performance_trend(results: DataFrame, as_of: datetime) -> DataFrame:
     width, start = timedelta(hours=4), as_of - timedelta(hours=24)
     timed = results.filter(F.col("execution_time").isNotNull())
     rows = _windows(timed, start, 6, width).groupBy("slot").agg(F.round(F.avg("execution_time"), 2).alias("t"))
-    begins = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("slot") * 4).cast("int"))
+    begins = moment(start) + F.make_dt_interval(F.lit(0), (F.col("slot") * 4).cast("int"))
     return _all_windows(rows, 6).select(
         F.date_format(begins, "yyyy-MM-dd HH:mm").alias("window_start"), F.coalesce("t", F.lit(0.0)).alias("average_time")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.times import moment
 from ..operators.audit import retention_cutoff
 
 # Fields of one audit event; ``epsilon``/``delta``/``mechanism`` are its budget use, null when it used none.
@@ -53,5 +54,5 @@ def rewrite_retained(spark: SparkSession, source: str, target: str, as_of: datet
     """Copy the days that are still retained to a new log folder; older days are not read."""
     cut = retention_cutoff(as_of, retention_days)
     logs = read_audit_log(spark, source)
-    kept = logs.filter((F.col("date") >= F.lit(cut.date())) & (F.col("timestamp") > F.lit(cut).cast("timestamp_ntz")))
+    kept = logs.filter((F.col("date") >= F.lit(cut.date())) & (F.col("timestamp") > moment(cut)))
     kept.write.mode("append").partitionBy("date").json(target)

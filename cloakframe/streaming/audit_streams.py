@@ -13,30 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.times import utc_instant, utc_wall_clock
 from ..operators.audit import SECURITY_ACTIONS, SUSPICIOUS_FAILURES
 from ..session import scratch_path
 
 
 def read_events(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet file stream; an ``ntz`` event time is read as a UTC instant for watermarks."""
+    """Parquet file stream."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    instant = utc_instant(F.col("timestamp"), events.schema["timestamp"].dataType)
+    return events.withColumn("timestamp", instant).withWatermark("timestamp", late)
+
+
 def daily_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events per day and action; state older than the watermark is dropped."""
-    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
-    out = timed.groupBy(F.window("timestamp", "1 day"), "action").agg(F.count(F.lit(1)).alias("events"))
-    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "events")
+    """Events per UTC day and action; state older than the watermark is dropped."""
+    out = _timed(events, late).groupBy(F.window("timestamp", "1 day"), "action").agg(F.count(F.lit(1)).alias("events"))
+    return out.select(F.date_format(utc_wall_clock(F.col("window.start")), "yyyy-MM-dd").alias("day"), "action", "events")
 
 
 def performance_windows(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Mean execution time per 4-hour window."""
-    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
-    out = timed.groupBy(F.window("timestamp", "4 hours")).agg(F.avg("execution_time").alias("average_time"), F.count(F.lit(1)).alias("events"))
-    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "average_time", "events")
+    """Mean execution time per 4-hour window (UTC)."""
+    out = _timed(events, late).groupBy(F.window("timestamp", "4 hours")).agg(F.avg("execution_time").alias("average_time"), F.count(F.lit(1)).alias("events"))
+    return out.select(F.date_format(utc_wall_clock(F.col("window.start")), "yyyy-MM-dd HH:mm").alias("window_start"), "average_time", "events")
 
 
 def failed_by_ip(events: DataFrame) -> DataFrame:

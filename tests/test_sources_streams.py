@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.functions.times import moment
 from cloakframe.operators import audit, registry
 from cloakframe.plans.anonymize import anonymize, check_parameters, protect
 from cloakframe.plans.optimize import optimize
@@ -67,7 +68,7 @@ def test_load_gate_on_empty_table(spark):
 def _events(spark, n=400):
     k = F.col("id")
     return spark.range(n).select(
-        k.cast("string").alias("id"), (F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), k.cast("int"))).alias("timestamp"),
+        k.cast("string").alias("id"), (moment(datetime(2024, 1, 1)) + F.make_dt_interval(F.lit(0), k.cast("int"))).alias("timestamp"),
         F.when(k % 5 != 0, F.concat(F.lit("u"), k % 7)).alias("user_id"), F.concat(F.lit("s"), k % 3).alias("session_id"),
         F.when(k % 2 == 0, "login").otherwise("privacy_noise").alias("action"), F.lit("r").alias("resource"),
         F.concat(F.lit("10.0.0."), F.when(k < 22, 1).otherwise(k % 40 + 2)).alias("ip_address"), (k % 2 == 1).alias("success"), (k % 10).cast("double").alias("execution_time"),
