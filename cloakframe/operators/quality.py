@@ -37,8 +37,8 @@ def _per_column(df: DataFrame, columns: Sequence[str], measure, rows_needed: boo
     return wide.select(F.inline(F.array(*cells)))
 
 
-def check_structure(df: DataFrame) -> DataFrame:
-    """Empty (error); fewer than 2 or 10 rows; one column; unnamed or repeated column names."""
+def _structure_findings(df: DataFrame) -> list[Column]:
+    """Findings over ``_rows`` and the column names; null where a rule does not apply."""
     unnamed = [c for c in df.columns if c.startswith("Unnamed:")]
     repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
     rows = F.col("_rows")
@@ -50,7 +50,12 @@ def check_structure(df: DataFrame) -> DataFrame:
         ((rows > 0) & F.lit(bool(unnamed)), _finding("unnamed_columns", None, "warning", F.lit(len(unnamed)))),
         *[((rows > 0), _finding("duplicate_column_name", c, "warning", F.lit(df.columns.count(c)))) for c in repeated],
     ]
-    fired = F.filter(F.array(*[F.when(cond, f) for cond, f in rules]), lambda x: x.isNotNull())
+    return [F.when(cond, f) for cond, f in rules]
+
+
+def check_structure(df: DataFrame) -> DataFrame:
+    """Empty (error); fewer than 2 or 10 rows; one column; unnamed or repeated column names."""
+    fired = F.filter(F.array(*_structure_findings(df)), lambda x: x.isNotNull())
     return df.select(F.lit(1)).agg(F.count(F.lit(1)).alias("_rows")).select(F.inline(fired))
 
 
@@ -65,6 +70,18 @@ def looks_like_date(c: Column) -> Column:
     return hit
 
 
+def _kind_parts(v: Column, i: int) -> tuple[list[Column], Column, Column, Column, Column]:
+    """Aggregates of one text column (its non-null count is ``n{i}``), and from them the shares, kind and mixed flag."""
+    aggregates = [
+        F.sum(looks_numeric(v).cast("bigint")).alias(f"num{i}"), F.sum(looks_like_date(v).cast("bigint")).alias(f"dat{i}")
+    ]
+    number, date = _share(F.col(f"num{i}"), F.col(f"n{i}")), _share(F.col(f"dat{i}"), F.col(f"n{i}"))
+    kind = F.when(number > 0.8, "numeric").when(date > 0.8, "datetime").otherwise("text")
+    words = (F.lit(1.0) - number - date > 1e-12) & (F.col(f"n{i}") > 0)
+    several = (number > 0).cast("int") + (date > 0).cast("int") + words.cast("int")
+    return aggregates, number, date, kind, several > 1
+
+
 def infer_text_kind(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column the shares of numeric-like and date-like values and the resulting kind.
 
@@ -73,24 +90,14 @@ def infer_text_kind(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     columns = list(columns or roles.text_columns(df))
     aggregates, cells = [], []
     for i, c in enumerate(columns):
-        v = F.col(c)
-        aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.sum(looks_numeric(v).cast("bigint")).alias(f"num{i}"),
-            F.sum(looks_like_date(v).cast("bigint")).alias(f"dat{i}"),
-        ]
-        n = F.col(f"n{i}")
+        more, number, date, kind, mixed = _kind_parts(F.col(c), i)
+        aggregates += [F.count(c).alias(f"n{i}"), *more]
         cells.append(
             F.struct(
-                F.lit(c).alias("column"), _share(F.col(f"num{i}"), n).alias("numeric_share"),
-                _share(F.col(f"dat{i}"), n).alias("date_share"),
+                F.lit(c).alias("column"), number.alias("numeric_share"), date.alias("date_share"), kind.alias("kind"), mixed.alias("mixed")
             )
         )
-    kinds = df.agg(*aggregates).select(F.inline(F.array(*cells)))
-    text = 1 - F.col("numeric_share") - F.col("date_share")
-    several = (F.col("numeric_share") > 0).cast("int") + (F.col("date_share") > 0).cast("int") + (text > 1e-12).cast("int")
-    kind = F.when(F.col("numeric_share") > 0.8, "numeric").when(F.col("date_share") > 0.8, "datetime").otherwise("text")
-    return kinds.withColumn("kind", kind).withColumn("mixed", several > 1)
+    return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 
 
 def missing_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -177,13 +184,17 @@ def zscore_outliers(df: DataFrame, threshold: float = 3.0, share: float = 0.05,
     return rows.withColumn("reported", F.col("outliers") > F.col("rows") * share)
 
 
+def _corrected(g: Column, n: Column) -> Column:
+    """Population skewness with the small-sample correction; undefined below three values."""
+    return F.nanvl(F.coalesce(g, F.lit(0.0)), F.lit(0.0)) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+
+
 def skewness(df: DataFrame, threshold: float = 2.0, minimum: int = 10) -> DataFrame:
     """``(column, skewness, reported)`` with the small-sample correction."""
     numbers = roles.numeric_columns(df)
     wide = df.agg(*[F.skewness(F.col(c).cast("double")).alias(f"g{i}") for i, c in enumerate(numbers)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(numbers)])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"g{i}").alias("g"), F.col(f"n{i}").cast("double").alias("n")) for i, c in enumerate(numbers)]
-    n = F.col("n")
-    corrected = F.nanvl(F.col("g"), F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2)
+    n, corrected = F.col("n"), _corrected(F.col("g"), F.col("n"))
     rows = wide.select(F.inline(F.array(*cells))).filter(n >= minimum)
     return rows.select("column", corrected.alias("skewness")).withColumn("reported", F.abs("skewness") > threshold)
 
@@ -229,33 +240,51 @@ def violating_rows(df: DataFrame, column: str, limits: dict) -> DataFrame:
     return df.filter(bad)
 
 
+def _single_pass_findings(df: DataFrame, missing_share: float = 0.5, skew: float = 2.0, minimum: int = 10) -> DataFrame:
+    """Structure, missing values, constants, text kinds and skewness from one aggregate over the table."""
+    texts, numbers = roles.text_columns(df), roles.numeric_columns(df)
+    aggregates, cells = [F.count(F.lit(1)).alias("_rows")], _structure_findings(df)
+    for i, c in enumerate(df.columns):
+        v = F.col(c)
+        aggregates += [F.count(v).alias(f"n{i}"), F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias(f"same{i}")]
+        missing = _share(F.col("_rows") - F.col(f"n{i}"), F.col("_rows"))
+        cells.append(F.when(missing > missing_share, _finding("missing_values", c, "warning", missing)))
+        cells.append(F.when(F.col(f"same{i}"), _finding("constant", c, "warning", F.lit(1))))
+        if c in texts:
+            more, number, date, kind, mixed = _kind_parts(v, i)
+            aggregates += more
+            cells.append(F.when(mixed, _finding("mixed_types", c, "warning", F.lit(1))))
+            for name, share in (("numeric", number), ("datetime", date)):
+                cells.append(F.when(kind == name, _finding(f"might_be_{name}", c, "warning", share)))
+        elif c in numbers:
+            aggregates.append(F.skewness(v.cast("double")).alias(f"g{i}"))
+            skewed = _corrected(F.col(f"g{i}"), F.col(f"n{i}").cast("double"))
+            cells.append(F.when((F.col(f"n{i}") >= minimum) & (F.abs(skewed) > skew), _finding("skewed", c, "warning", skewed)))
+    empty = F.lit(None).cast("struct<check:string,column:string,severity:string,value:double>")
+    return df.agg(*aggregates).select(F.inline(F.filter(F.array(empty, *cells), lambda x: x.isNotNull())))
+
+
 def validate_dataset(df: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Every check as findings ``(check, column, severity, value)``; valid when no row is an error."""
+    """Every check as findings ``(check, column, severity, value)``; valid when no row is an error.
+
+    What one aggregate can answer is answered in one pass; distinct values,
+    duplicates and outliers take passes of their own.
+    """
     warn = lambda d, check, value: d.select(
         F.lit(check).alias("check"), F.col("column"), F.lit("warning").alias("severity"), value.cast("double").alias("value")
     )
+    copies = duplicate_rows(df).filter("duplicate_rows > 0").withColumn("column", F.lit(None).cast("string"))
     parts = [
-        check_structure(df),
-        warn(missing_columns(df), "missing_values", F.col("missing_ratio")),
-        warn(constant_columns(df), "constant", F.lit(1)),
+        _single_pass_findings(df),
         warn(high_cardinality_columns(df), "high_cardinality", F.col("distinct_ratio")),
-        warn(
-            duplicate_rows(df).filter("duplicate_rows > 0").withColumn("column", F.lit(None).cast("string")),
-            "duplicate_rows", F.col("duplicate_rows"),
-        ),
+        warn(copies, "duplicate_rows", F.col("duplicate_rows")),
         detect_sensitive_columns(df).select(
             F.concat(F.lit("sensitive:"), F.col("reason")).alias("check"), "column",
             F.lit("warning").alias("severity"), F.when(F.col("confidence") == "high", 1.0).otherwise(0.5).alias("value"),
         ),
     ]
-    if roles.text_columns(df):
-        kinds = infer_text_kind(df)
-        parts.append(warn(kinds.filter("mixed"), "mixed_types", F.lit(1)))
-        stored = kinds.filter("kind <> 'text'")
-        parts.append(stored.select(F.concat(F.lit("might_be_"), F.col("kind")).alias("check"), "column", F.lit("warning").alias("severity"), F.greatest("numeric_share", "date_share").alias("value")))
     if roles.numeric_columns(df):
         parts.append(warn(zscore_outliers(df).filter("reported"), "outliers", F.col("outliers")))
-        parts.append(warn(skewness(df).filter("reported"), "skewed", F.col("skewness")))
     if rules:
         parts.append(validate_schema(df, rules))
     out = parts[0]
