@@ -13,7 +13,7 @@ from ..functions.scoring import clamp01, mean_of
 from .budget import MAX_EPSILON
 from .disclosure import generalize_numeric
 from .ranking import prefix_sums
-from .stats import no_null, null_count, stacked
+from .stats import COLUMNS_PER_JOB, no_null, null_count, stacked
 
 # Column-name parts that mark a likely quasi-identifier.
 QI_NAMES = ["age", "zip", "postal", "income", "education", "occupation"]
@@ -206,15 +206,19 @@ def statistical_similarity(original: DataFrame, derived: DataFrame) -> DataFrame
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col_a, col_b, corr)`` for all pairs a < b in one aggregate, pairwise complete."""
+    """``(col_a, col_b, corr)`` for all pairs a < b, pairwise complete; one aggregate per ``COLUMNS_PER_JOB`` pairs."""
     pairs = list(combinations(columns, 2))
-    d = {c: F.col(c).cast("double") for c in columns}
-    wide = df.agg(*[F.corr(d[a], d[b]).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.nanvl(F.col(f"_r{i}"), F.lit(None)).alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    value, out = {c: F.col(c).cast("double") for c in columns}, None
+    for start in range(0, len(pairs), COLUMNS_PER_JOB):
+        some = pairs[start : start + COLUMNS_PER_JOB]
+        wide = df.agg(*[F.corr(value[a], value[b]).alias(f"_r{i}") for i, (a, b) in enumerate(some)])
+        rows = [
+            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.nanvl(F.col(f"_r{i}"), F.lit(None)).alias("corr"))
+            for i, (a, b) in enumerate(some)
+        ]
+        part = wide.select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _varies(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..functions import schema as roles
 from .quantiles import quantiles
-from .stats import null_count, numeric_summary
+from .stats import COLUMNS_PER_JOB, null_count, numeric_summary, single_row
 
 FINDING = "check string, column string, severity string, value double"
 
@@ -27,14 +27,18 @@ def _share(n: Column, rows: Column) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), rows), F.lit(0.0))
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], measure, rows_needed: bool = True) -> DataFrame:
-    """``(column, rows, n)`` from one aggregate over all columns."""
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[measure(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"_m{i}").alias("n"))
-        for i, c in enumerate(columns)
-    ]
-    return wide.select(F.inline(F.array(*cells)))
+def _per_column(df: DataFrame, columns: Sequence[str], measure) -> DataFrame:
+    """``(column, rows, n)``, one aggregate per ``COLUMNS_PER_JOB`` columns."""
+    out = None
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        some = columns[start : start + COLUMNS_PER_JOB]
+        wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[measure(c).alias(f"_m{i}") for i, c in enumerate(some)])
+        cells = [
+            F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"_m{i}").alias("n")) for i, c in enumerate(some)
+        ]
+        part = wide.select(F.inline(F.array(*cells)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _structure_findings(df: DataFrame) -> list[Column]:
@@ -137,34 +141,42 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def detect_sensitive_columns(df: DataFrame) -> DataFrame:
-    """``(column, reason, confidence)``; the first rule that holds wins."""
+    """``(column, reason, confidence)``; the first rule that holds wins.
+
+    Names decide first. One pass then matches patterns and sketches distinct
+    values; exact distinct counts are taken only where an identifier is likely,
+    so long texts are never shuffled.
+    """
     texts = set(roles.text_columns(df))
     named = [c for c in df.columns if any(k in c.lower() for k in patterns.SENSITIVE_NAMES)]
     measured = [c for c in df.columns if c in texts and c not in named]
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit("sensitive_keyword_in_name").alias("reason"), F.lit("high").alias("confidence"))
-        for c in named
-    ]
+    exprs: dict[str, Column] = {"rows": F.count(F.lit(1))}
     for i, c in enumerate(measured):
         v = F.col(c)
-        plain = F.regexp_replace(v, "[-_]", "").rlike(patterns.ALPHANUMERIC)
-        aggregates += [
-            F.count(v).alias(f"n{i}"), F.sum(v.rlike(patterns.EMAIL).cast("bigint")).alias(f"e{i}"),
-            F.sum(v.rlike(patterns.PHONE).cast("bigint")).alias(f"p{i}"), F.min(plain).alias(f"a{i}"),
-            F.count_distinct(v).alias(f"d{i}"),
-        ]
-        half = F.col(f"n{i}") * 0.5
-        reason = (
-            F.when(F.col(f"e{i}") > half, "email_pattern")
-            .when(F.col(f"p{i}") > half, "phone_pattern")
-            .when((_share(F.col(f"d{i}"), F.col("_rows")) > 0.9) & F.col(f"a{i}"), "potential_identifier")
-        )
-        confidence = F.when(reason == "potential_identifier", "medium").otherwise("high")
-        cells.append(F.when(reason.isNotNull(), F.struct(F.lit(c).alias("column"), reason.alias("reason"), confidence.alias("confidence"))))
+        exprs[f"n{i}"] = F.count(v)
+        exprs[f"e{i}"] = F.count_if(v.rlike(patterns.EMAIL))
+        exprs[f"p{i}"] = F.count_if(v.rlike(patterns.PHONE))
+        exprs[f"a{i}"] = F.min(F.regexp_replace(v, "[-_]", "").rlike(patterns.ALPHANUMERIC))
+        exprs[f"d{i}"] = F.approx_count_distinct(v)
+    seen = single_row(df, exprs)
+
+    def cell(column: str, reason: str, confidence: str) -> Column:
+        return F.struct(F.lit(column).alias("column"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"))
+
+    cells, likely = [cell(c, "sensitive_keyword_in_name", "high") for c in named], []
+    for i, c in enumerate(measured):
+        half = seen[f"n{i}"] * 0.5
+        if seen[f"e{i}"] > half:
+            cells.append(cell(c, "email_pattern", "high"))
+        elif seen[f"p{i}"] > half:
+            cells.append(cell(c, "phone_pattern", "high"))
+        elif seen[f"a{i}"] and seen[f"d{i}"] > seen["rows"] * 0.9 * 0.8:
+            likely.append(c)
+    aggregates = [F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(likely)]]
+    for i, c in enumerate(likely):
+        cells.append(F.when(_share(F.col(f"_d{i}"), F.col("_rows")) > 0.9, cell(c, "potential_identifier", "medium")))
     empty = F.lit(None).cast("struct<column:string,reason:string,confidence:string>")
-    found = F.filter(F.array(empty, *cells), lambda x: x.isNotNull())
-    return df.agg(*aggregates).select(F.inline(found))
+    return df.agg(*aggregates).select(F.inline(F.filter(F.array(empty, *cells), lambda x: x.isNotNull())))
 
 
 def zscore_outliers(df: DataFrame, threshold: float = 3.0, share: float = 0.05, minimum: int = 10) -> DataFrame:

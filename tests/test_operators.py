@@ -331,6 +331,24 @@ def test_all_null_rows_are_duplicates(spark):
     assert quality.duplicate_rows(frame(spark, [(None, None), (None, None)], "a int, b string")).first()["duplicate_rows"] == 1
 
 
+def test_sensitive_rules_in_order(spark):
+    rows = [(f"u{i}@x.org", f"555-123-{1000 + i}", f"K-{i}", f"word {i}", "a") for i in range(40)] + [(None, None, None, None, "a")]
+    df = frame(spark, rows, "mail string, tel string, code string, remark string, customer_age string")
+    found = {r["column"]: (r["reason"], r["confidence"]) for r in quality.detect_sensitive_columns(df).collect()}
+    assert found == {
+        "mail": ("email_pattern", "high"), "tel": ("phone_pattern", "high"), "code": ("potential_identifier", "medium"),
+        "customer_age": ("sensitive_keyword_in_name", "high"),
+    }
+
+
+def test_many_columns_are_split_over_several_aggregates(spark, monkeypatch):
+    monkeypatch.setattr(measures, "COLUMNS_PER_JOB", 4)
+    monkeypatch.setattr(quality, "COLUMNS_PER_JOB", 4)
+    df = spark.range(30).select(*[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(1, 7)])
+    assert measures.correlations(df, df.columns).count() == 15 and measures.correlation_preservation(df, df).first()[0] == pytest.approx(1.0)
+    assert {r["n"] for r in quality.distinct_per_column(df).collect()} == {7}
+
+
 def test_text_kinds(spark):
     df = frame(spark, [("$1,200", "2024-01-02"), ("5%", "01/02/2024"), ("abc", "x")], "n string, d string")
     rows = {r["column"]: r for r in quality.infer_text_kind(df).collect()}
