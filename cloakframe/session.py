@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,13 @@ _written: dict[str, list[str]] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting (tests, laptops) gets a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a single-process session
+    (``local``, not ``local-cluster``) without that setting gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_root:
