@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import read
 from .line_rules import MEASURES, line_rules
+from .quality_svm import quality
+
+
+def op1_quality_svm(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
 def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -13,6 +18,7 @@ def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_svm": op1_quality_svm,
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {}
