@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import read
+from .language_crf import language
 from .line_rules import MEASURES, line_rules
 from .quality_svm import quality
+from .toxicity_bag import toxicity
 
 
 def op1_quality_svm(spark: SparkSession, sf: str) -> DataFrame:
     return quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op6_language_crf(spark: SparkSession, sf: str) -> DataFrame:
+    return language(read(spark, sf, "documents"))
+
+
+def op7_toxicity_bag(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules(read(spark, sf, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "removed_words")
 
 
 QUERIES = {
     "op1_quality_svm": op1_quality_svm,
+    "op6_language_crf": op6_language_crf,
+    "op7_toxicity_bag": op7_toxicity_bag,
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {}
