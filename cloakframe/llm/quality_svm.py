@@ -25,7 +25,7 @@ from .base import held_out
 from .fitting import Model, fit, logistic, platt, sample_of, with_texts
 from .text import Scan, as_bytes, mix, owner, slices
 
-SAMPLE_ROWS = 4000  # labelled documents the model is fitted on, at most
+SAMPLE_ROWS = 3000  # labelled documents the model is fitted on, at most
 BITS = 18
 _ONE = np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -113,7 +113,9 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     if n1 in (0, n):
         share = (n1 + 1) / (n + 2)
         return {"weight": np.zeros(1 << BITS, np.float32), "square": np.zeros(1 << BITS, np.float32), "curve": np.array([1.0, np.log(share / (1 - share))])}
-    doc, feature = features(texts)
+    parts = [features(texts[i : i + 200]) for i in range(0, n, 200)]  # a few at a time keeps temporary arrays small
+    doc = np.concatenate([d + 200 * i for i, (d, _) in enumerate(parts)])
+    feature = np.concatenate([f for _, f in parts])
     edge = np.searchsorted(doc, np.arange(n + 1))
     rows = [feature[edge[i] : edge[i + 1]] for i in range(n)]
     y = np.where(positive, 1.0, -1.0)
