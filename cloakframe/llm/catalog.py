@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .base import read
 from .language_crf import language
 from .line_rules import MEASURES, line_rules
+from .minimax_shards import minimax_shards
 from .quality_svm import quality
+from .source_mix import source_mix
 from .toxicity_bag import toxicity
 
 
@@ -15,6 +17,14 @@ def op1_quality_svm(spark: SparkSession, sf: str) -> DataFrame:
     return quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op3_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return minimax_shards(read(spark, sf, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return source_mix(read(spark, sf, "documents"))
+
+
 def op6_language_crf(spark: SparkSession, sf: str) -> DataFrame:
     return language(read(spark, sf, "documents"))
 
@@ -29,6 +39,8 @@ def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_svm": op1_quality_svm,
+    "op3_minimax_shards": op3_minimax_shards,
+    "op5_source_mix": op5_source_mix,
     "op6_language_crf": op6_language_crf,
     "op7_toxicity_bag": op7_toxicity_bag,
     "op10_line_rules": op10_line_rules,
