@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import read
+from .embedding_dups import embedding_dups
+from .kk_packing import kk_packing
 from .language_crf import language
 from .line_rules import MEASURES, line_rules
 from .minimax_shards import minimax_shards
@@ -33,6 +36,14 @@ def op7_toxicity_bag(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op8_kk_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return kk_packing(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_embedding_dups(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dups(read(spark, sf, "embeddings"))
+
+
 def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules(read(spark, sf, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "removed_words")
 
@@ -43,6 +54,8 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_language_crf": op6_language_crf,
     "op7_toxicity_bag": op7_toxicity_bag,
+    "op8_kk_packing": op8_kk_packing,
+    "op9_embedding_dups": op9_embedding_dups,
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {}
