@@ -13,6 +13,7 @@ from .line_rules import MEASURES, line_rules
 from .minimax_shards import minimax_shards
 from .quality_svm import quality
 from .source_mix import source_mix
+from .suffix_dedup import suffix_dedup
 from .toxicity_bag import toxicity
 
 
@@ -20,6 +21,11 @@ def op1_quality_svm(spark: SparkSession, sf: str) -> DataFrame:
     return quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     return minimax_shards(read(spark, sf, "documents"))
 
@@ -50,6 +56,7 @@ def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_svm": op1_quality_svm,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minimax_shards": op3_minimax_shards,
     "op5_source_mix": op5_source_mix,
     "op6_language_crf": op6_language_crf,
