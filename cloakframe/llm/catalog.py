@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import read
 from .embedding_dups import embedding_dups
+from .jaccard_join import jaccard_join
 from .kk_packing import kk_packing
 from .language_crf import language
 from .line_rules import MEASURES, line_rules
@@ -30,6 +31,10 @@ def op3_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     return minimax_shards(read(spark, sf, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join(read(spark, sf, "documents"), n=3, per_cent=90)
+
+
 def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return source_mix(read(spark, sf, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_quality_svm": op1_quality_svm,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minimax_shards": op3_minimax_shards,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
     "op6_language_crf": op6_language_crf,
     "op7_toxicity_bag": op7_toxicity_bag,
