@@ -37,9 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass
 class Mix:
     sources: DataFrame  # sid, skey, source_size, target, blocks, wanted
-    plan: DataFrame  # shard, slot, sid, block
+    plan: DataFrame  # shard, sid, g (number of the slot among those of its source), block
     parts: DataFrame  # row, sid, block, first (word in the document), words
-    sized: DataFrame  # row, skey, size
 
 
 def word_count(text: Column) -> Column:
@@ -97,14 +96,17 @@ def _exploded(rows: DataFrame, count: Column, name: str, chunk: int = 4096) -> D
 
 
 def mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17) -> Mix:
-    """The mix of ``sized`` (a written table of ``row, skey, size``; ``row`` unique)."""
+    """The mix of ``sized``, a written table of ``row, skey, size, hash``.
+
+    ``row`` is unique, ``hash`` orders the rows of a source; rows of equal hash are alike.
+    """
     spark = sized.sparkSession
     sources = materialize(targets(sized, block), "sources")
     drawn = int(sources.agg(F.coalesce(F.sum("wanted"), F.lit(0))).first()[0])
     # where each document lies in its source's stream, and its share of each block
     # the sources become a broadcast only if their measured size allows
     placed = sized.where(F.col("size") > 0).join(sources.select("sid", "skey", "documents"), "skey")
-    placed = _numbered(placed, F.ceil(F.col("documents") / IN_A_BUCKET), F.xxhash64(F.lit(seed), "row"), ["row"], F.col("size"), "start")
+    placed = _numbered(placed, F.ceil(F.col("documents") / IN_A_BUCKET), F.col("hash"), ["row"], F.col("size"), "start")
     end = F.col("start") + F.col("size")
     parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     first = F.greatest(F.col("block") * block, F.col("start"))
@@ -129,7 +131,7 @@ def mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17
     need = _exploded(got, F.col("under"), "_i").select("sid", (F.col("under_from") + F.col("_i")).alias("_t"), (F.col("got") + F.col("_i")).alias("g"))
     taken = keep.unionByName(spare.join(need, "_t").select("shard", "sid", "g")).join(sources.select("sid", "blocks"), "sid")
     plan = taken.withColumn("place", F.pmod(F.col("g"), F.col("blocks"))).join(blocks.select("sid", "place", "block"), ["sid", "place"])
-    return Mix(sources, plan.select("shard", "sid", "g", "block"), parts, sized)
+    return Mix(sources, plan.select("shard", "sid", "g", "block"), parts)
 
 
 def uses(found: Mix) -> DataFrame:
@@ -140,11 +142,10 @@ def uses(found: Mix) -> DataFrame:
 
 def source_mix(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("skey"), word_count(F.col("text").cast("string")).alias("size"))
-    # rows are numbered by their own values, so that a rerun gives the same mix
-    keyed = sized.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(F.lit(0))))
-    rows = materialize(keyed.withColumn("row", F.struct("doc_id", "skey", "size", "_copy")).drop("_copy"), "sized")
-    found = mix(rows.select("row", "skey", "size"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("skey"), word_count(F.col("text").cast("string")).alias("size"))
+    # the order follows from the rows' own values, so that a rerun gives the same mix
+    rows = materialize(named.withColumn("hash", F.xxhash64(F.lit(17), "doc_id", "skey", "size")).withColumn("row", F.monotonically_increasing_id()), "sized")
+    found = mix(rows.select("row", "skey", "size", "hash"))
     taken = uses(found).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     per_source = found.sources.select("skey", "source_size", "target")
     return (
@@ -159,18 +160,21 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     Documents of which nothing is taken are gone; the other columns stay.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", source_key(F.col("source")), F.xxhash64("text")).orderBy(F.lit(0))))
-    keyed = keyed.withColumn("row", F.struct("doc_id", source_key(F.col("source")).alias("k"), F.xxhash64("text").alias("h"), "_copy")).drop("_copy")
-    rows = materialize(keyed.withColumn("_size", word_count(F.col("text"))), "keyed")
-    found = mix(rows.select("row", source_key(F.col("source")).alias("skey"), F.col("_size").alias("size")))
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])  # names that cannot clash
+    name = {c: f"c{i}" for i, c in enumerate(columns)}
+    text, source = F.col(name["text"]), F.col(name["source"])
+    keyed = own.withColumn("skey", source_key(source)).withColumn("size", word_count(text))
+    keyed = keyed.withColumn("hash", F.xxhash64(F.lit(17), name["doc_id"], "skey", name["text"])).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(keyed, "keyed")
+    found = mix(rows.select("row", "skey", "size", "hash"))
     parts = uses(found).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("parts"), F.sum("words").alias("once"), F.max("uses").alias("most"))
     # a word with the white space after it, so that parts keep their line feeds
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     cut = lambda p: F.array_join(F.slice(F.col("_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")), "")
-    piece = lambda p: F.array_join(F.array_repeat(F.rtrim(cut(p)), p["uses"].cast("int")), "\n")
+    again = lambda p: F.concat(F.array_join(F.array_repeat(F.rtrim(cut(p)), p["uses"].cast("int")), "\n"), F.lit("\n"))
     joined = rows.join(parts, "row")
-    whole = (F.col("once") == F.col("_size")) & (F.col("most") == 1) & (F.array_min(F.transform("parts", lambda p: p["uses"])) == 1)
+    whole = (F.col("once") == F.col("size")) & (F.col("most") == 1)
     some = joined.withColumn("_words", F.when(~whole, words))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("parts", lambda p: F.when(p["uses"] == 1, cut(p)).otherwise(F.concat(piece(p), F.lit("\n")))), ""))
-    return some.withColumn("text", text).select(*columns)
+    mixed = F.array_join(F.transform("parts", lambda p: F.when(p["uses"] == 1, cut(p)).otherwise(again(p))), "")
+    return some.withColumn(name["text"], F.when(whole, text).otherwise(mixed)).select(*[F.col(name[c]).alias(c) for c in columns])

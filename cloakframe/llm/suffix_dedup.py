@@ -392,16 +392,20 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, block: int = BLOCK) -
         StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
     ])
-    base = docs.drop(*stats.names, "shard").withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    others = [c for c in docs.columns if c not in {"doc_id", "text", *stats.names}]
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(F.lit(0).alias("none"), *[F.col(c) for c in others]).alias("others"))  # out of the way of names used here
     shards = sharded(base)
     ranges = shards.ranges(RANGE_BYTES)
     counts = census(shards, _keys, _kind, ranges)
     sent = shards.docs.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(
         _sender(ranges), "range long, shard int, starts binary, times binary, id binary, doc binary, place binary, text binary")
     spans = sent.groupBy("range").applyInArrow(_match(block), "shard int, doc binary, low binary, size binary")
-    columns = base.columns
     schema = StructType([*base.schema.fields, *stats.fields])
-    return shards.docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_remover(columns, with_text), schema)
+    found = shards.docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_remover(base.columns, with_text), schema)
+    named = [F.col(c) if c in {"doc_id", "text"} else F.col("others").getField(c).alias(c) for c in docs.columns if c not in stats.names]
+    return found.select(*named, *stats.names)
 
 
 __all__ = ["common_prefixes", "pieces", "search", "smallest_ids", "string_order", "suffix_dedup"]
