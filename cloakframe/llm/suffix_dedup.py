@@ -21,6 +21,7 @@ other; rows with the same doc_id remove nothing from each other; shorter texts a
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ LENGTH = 50
 GRAM = 20
 LONGEST_RUN = 256  # string starts in a piece
 HOT = 512  # documents of a hash above which its strings are dealt out one by one
-BLOCK = 1 << 20  # bytes of pieces in a suffix array
-RANGE_BYTES = 8_000_000
+BLOCK = 2_000_000  # bytes of pieces in a suffix array, at most 2**21 with the last piece
+RANGE_BYTES = 4_000_000
 _SHIFT = np.uint64(64 - KEY_BITS)
 
 
@@ -130,7 +131,7 @@ def _sender(ranges: int):
         order = np.lexsort((np.arange(len(n)), first, all_["range"]))
         found, edge = np.unique(all_["range"][order], return_index=True)
         rows = []
-        for a, b in zip(edge, np.append(edge[1:], len(n)), strict=True):
+        for a, b in pairwise([*edge, len(n)]):
             some = order[a:b]
             lead = some[first[some] == some]
             times = np.diff(np.append(np.flatnonzero(first[some] == some), len(some)))
@@ -225,29 +226,47 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, begin: np.ndarray, start
     return out[order]
 
 
-def _compare(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sign of the comparison of ``LENGTH`` bytes at a with those at b."""
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; bytes beyond the end are zero."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    out = np.zeros(len(buf), np.uint64)
+    for j in range(8):
+        out <<= np.uint64(8)
+        out |= padded[j : j + len(buf)]
+    return out
+
+
+_STEPS = [*range(0, LENGTH - 8, 8), LENGTH - 8]  # eight bytes each cover a string
+
+
+def _compare(words: np.ndarray, a: np.ndarray, b: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Sign of the comparison of the strings at a with those at b, by their bytes at ``steps``."""
     sign = np.zeros(len(a), np.int8)
     todo = np.arange(len(a))
-    for j in range(LENGTH):
-        if not len(todo):
-            break
-        x, y = buf[a[todo] + j], buf[b[todo] + j]
+    for j in steps:
+        x, y = words[a[todo] + j], words[b[todo] + j]
         sign[todo] = (x > y).astype(np.int8) - (x < y)
         todo = todo[x == y]
+        if not len(todo):
+            break
     return sign
 
 
-def search(buf: np.ndarray, sorted_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each string in a sorted list of strings by binary search, and whether it is there."""
-    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(sorted_at), np.int64)
+def search(words: np.ndarray, sorted_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each string in a sorted list of strings by binary search, and whether it is there.
+
+    The first eight bytes are searched for all strings at once; within equal ones the search goes on by whole strings.
+    """
+    heads = words[sorted_at]
+    low, high = np.searchsorted(heads, words[at], "left"), np.searchsorted(heads, words[at], "right")
+    last = high.copy()
     while (open_ := np.flatnonzero(low < high)).size:
         middle = (low[open_] + high[open_]) // 2
-        sign = _compare(buf, sorted_at[middle], at[open_])
+        sign = _compare(words, sorted_at[middle], at[open_], _STEPS[1:])
         low[open_] = np.where(sign < 0, middle + 1, low[open_])
         high[open_] = np.where(sign < 0, high[open_], middle)
-    hit = low < len(sorted_at)
-    hit[hit] = _compare(buf, sorted_at[low[hit]], at[hit]) == 0
+    hit = low < last
+    hit[hit] = _compare(words, sorted_at[low[hit]], at[hit], _STEPS[1:]) == 0
     return low, hit
 
 
@@ -275,14 +294,22 @@ def smallest_ids(buf: np.ndarray, begin: np.ndarray, starts: np.ndarray, ids: np
         _, least, target, which = blocks[0]
         out[target] = least[which]
         return out
+    # one block after the other: its classes take the numbers of equal ones, new ones are put in their place
+    words = _words(buf)
     at, least = blocks[0][:2]
+    number = np.arange(len(at))
+    numbers = [number]
     for more_at, more_least, _, _ in blocks[1:]:
-        place, hit = search(buf, at, more_at)
-        np.minimum.at(least, place[hit], more_least[hit])
-        new = ~hit
-        at, least = np.insert(at, place[new], more_at[new]), np.insert(least, place[new], more_least[new])
-    for own_at, _, target, which in blocks:
-        out[target] = least[search(buf, at, own_at)[0]][which]
+        place, hit = search(words, at, more_at)
+        own = np.empty(len(more_at), np.int64)
+        own[hit] = number[place[hit]]
+        own[~hit] = len(least) + np.arange(int((~hit).sum()))
+        np.minimum.at(least, own[hit], more_least[hit])
+        least = np.concatenate([least, more_least[~hit]])
+        at, number = np.insert(at, place[~hit], more_at[~hit]), np.insert(number, place[~hit], own[~hit])
+        numbers.append(own)
+    for own, (_, _, target, which) in zip(numbers, blocks, strict=True):
+        out[target] = least[own[which]]
     return out
 
 
@@ -291,6 +318,17 @@ def _left(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(begin + size, size) - np.arange(n)
 
 
+def _hashes(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each piece, a million bytes at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // 1_000_000)) + 1):
+        if len(own):
+            scan, low = Scan([]), begin[own[0]]
+            scan.buf = buf[low : begin[own[-1]] + size[own[-1]]]
+            out.append(scan.hashes(begin[own] - low, begin[own] - low + size[own]))
+    return np.concatenate(out)
+
+
 def _match(block: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
@@ -302,9 +340,7 @@ def _match(block: int):
         starts = starts.astype(np.int64)
         size = starts + LENGTH - 1
         begin = np.cumsum(size) - size
-        scan = Scan([])
-        scan.buf = buf
-        first = same_strings(buf, begin, size, scan.hashes(begin, begin + size))
+        first = same_strings(buf, begin, size, _hashes(buf, begin, size))
         lead = np.flatnonzero(first == np.arange(len(first)))
         piece = np.searchsorted(lead, first)[owner(times.astype(np.int64))]  # of each occurrence
         least = np.full(len(lead), np.iinfo(np.int64).max)
@@ -330,7 +366,7 @@ def _match(block: int):
         order = np.lexsort((low, doc, where))
         which, edge = np.unique(where[order], return_index=True)
         rows = []
-        for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+        for a, b in pairwise([*edge, len(order)]):
             some = order[a:b]
             rows.append((packed(np.diff(doc[some], prepend=0).astype("<i4")), packed(low[some].astype("<u4")), packed((high - low)[some].astype("<u4"))))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
