@@ -29,31 +29,80 @@ from .base import materialize
 CAPACITY = 4096
 PIECE = 1024
 GROUP_TOKENS = 2_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 END = np.array([2], "<u4").tobytes()
-_tokenizers: dict[str, object] = {}
-_words: dict[str, dict[str, bytes]] = {}
+_TOGETHER = 200  # words of letters that are encoded as one text
+_MARKS = ".,;:!?"
 
 
-def word_ids(path: str, words: set[str]) -> dict[str, bytes]:
-    """Ids of each word as bytes, kept for later calls of the same worker up to ``CACHED_WORDS``.
+class WordIds:
+    """Ids of words as bytes, kept between calls for the words of late (two generations of ``CACHED_WORDS``).
 
     Words are what stands between spaces, tabs and line feeds; the tokenizer drops
     white space and never joins over it, so a text's ids are those of its words.
+    It also splits letters from the marks behind them, so those are looked up apart.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _words[path] = {"": b""}
-    known = _words[path]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > CACHED_WORDS:
-        known = _words[path] = {"": b"", **{w: known[w] for w in words if w in known}}
-    for w, found in zip(new, _tokenizers[path].encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(found.ids, "<u4").tobytes()
-    return known
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds all ``words`` until the next call."""
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        unknown = [w for w in words if w not in young]
+        marked: list[tuple[str, str, str]] = []
+        new: set[str] = set()
+        for w in unknown:
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core.isalpha():
+                marked.append((w, core, w[len(core) :]))
+                new.update(marked[-1][1:])
+            else:
+                new.add(w)
+        self._encode([w for w in new if w not in young])
+        for w, core, marks in marked:
+            young[w] = young[core] + young[marks]
+        return young
+
+    def _encode(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        chunks = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
+        for chunk, found in zip(chunks, self._ids([" ".join(c) for c in chunks]), strict=True):
+            last = np.flatnonzero(self.ends[found]) + 1
+            if len(last) != len(chunk):  # some letter becomes more than one part: each word by itself
+                rest += chunk
+                continue
+            for w, a, b in zip(chunk, [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                self.young[w] = found[a:b].tobytes()
+        for w, found in zip(rest, self._ids(rest), strict=True):
+            self.young[w] = found.tobytes()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str, words: set[str]) -> dict[str, bytes]:
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path].of(words)
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int]]:

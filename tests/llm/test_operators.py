@@ -390,6 +390,18 @@ def test_kk_packing_covers_every_id_once(docs, nothing, rows):
     assert kk_packing(nothing, VOCABULARY).count() == 0
 
 
+def test_word_ids_equal_whole_texts(rows, monkeypatch):
+    import cloakframe.llm.kk_packing as kk
+
+    monkeypatch.setattr(kk, "CACHED_WORDS", 40)
+    known = kk.WordIds(VOCABULARY)
+    odd = ["İstanbul ΑΣ ΑΣ. ﬁne e\u0301tude don't it's' we've!! x.y a... <|startoftext|>, ²x Ⅷ ab١", "THE the The the, the. the... (the) 中文。 a\u00a0b a\u001fb"]
+    for text in [r[1] or "" for r in rows] + odd:
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        table = known.of(set(words))
+        assert np.frombuffer(b"".join(table[w] for w in words), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_differencing_is_near_equal_and_packs_tightly(seed):
     rng = np.random.default_rng(seed)
