@@ -88,7 +88,7 @@ def budget_remaining(spark, sf):
 
 
 def privacy_loss(spark, sf):
-    df = _operations(spark, sf).filter(F.col("delta") > 0).withColumn("mechanism", F.coalesce("mechanism", F.lit("unknown")))
+    df = _operations(spark, sf).withColumn("mechanism", F.coalesce("mechanism", F.lit("unknown")))
     return rounded(budget_ops.privacy_loss(df).select("event_id", "mechanism", "epsilon_loss", "delta_loss"), 9)
 
 
@@ -97,7 +97,7 @@ def dp_logistic_fit(spark, sf):
         "o_orderkey", (F.col("o_totalprice") / 500_000.0).alias("price"), (F.col("o_custkey") % 10 / 10.0).alias("group"),
         (F.col("o_totalprice") > 250_000).cast("int").alias("label"),
     )
-    model = fit_logistic(df, ["price", "group"], "label", 5.0, 1e-5, ["o_orderkey"], SALT, epochs=2, learning_rate=1.0)
+    model = fit_logistic(df, ["price", "group"], "label", 5.0, 1e-5, ["o_orderkey"], SALT, learning_rate=1.0)
     scored = model.predict(df)
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg("probability").alias("mean_probability"))
 
@@ -155,6 +155,6 @@ ORACLES = {
     f"{r('greatest(0.0, 40.0::DOUBLE - e)')} AS epsilon_remaining, {r('greatest(0.0, 4e-3::DOUBLE - d)')} AS delta_remaining, "
     f"{r('least(100.0, e / 40.0::DOUBLE * 100)')} AS epsilon_percent, {r('least(100.0, d / 4e-3::DOUBLE * 100)')} AS delta_percent FROM t",
     "privacy_loss": "SELECT event_id, coalesce(mechanism, 'unknown') AS mechanism, "
-    + r("CASE WHEN mechanism = 'gaussian' THEN epsilon * sqrt(2.0::DOUBLE * queries * ln(1.0::DOUBLE / delta)) ELSE epsilon * queries END", 9)
-    + " AS epsilon_loss, " + r("CASE WHEN mechanism = 'laplace' THEN 0.0 ELSE delta * queries END", 9) + f" AS delta_loss FROM ({OPERATIONS}) WHERE delta > 0",
+    + r("CASE WHEN mechanism = 'gaussian' AND delta <= 0 THEN 'infinity'::DOUBLE WHEN mechanism = 'gaussian' THEN epsilon * sqrt(2.0::DOUBLE * queries * ln(1.0::DOUBLE / delta)) ELSE epsilon * queries END", 9)
+    + " AS epsilon_loss, " + r("CASE WHEN mechanism = 'laplace' THEN 0.0 ELSE delta * queries END", 9) + f" AS delta_loss FROM ({OPERATIONS})",
 }

@@ -24,6 +24,13 @@ def scan_csv(spark, sf):
     return tables.scan_csv(spark, path)
 
 
+def csv_documents(spark, sf):
+    """Round trip of whole texts with line feeds, quotes and delimiters."""
+    df, path = table(spark, sf, "documents"), scratch_path(spark, "csv")
+    tables.write_csv(df, path)
+    return tables.scan_csv(spark, path, df.schema).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 def write_csv(spark, sf):
     df, path = table(spark, sf, "orders"), scratch_path(spark, "csv")
     tables.write_csv(df, path)
@@ -110,7 +117,7 @@ def redacted_preview(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_csv, write_csv, normalize_nulls, scan_json, write_json, dataset_store, append_audit_log, registry_tables, file_manifest,
+        scan_csv, csv_documents, write_csv, normalize_nulls, scan_json, write_json, dataset_store, append_audit_log, registry_tables, file_manifest,
         document_manifest, load_gate, table_metadata, redacted_preview,
     )
 }
@@ -125,6 +132,7 @@ def _manifest(source: str, key: str, text: str) -> str:
 
 
 ORACLES = {
+    "csv_documents": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "scan_csv": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer",
     "write_csv": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders",
     "normalize_nulls": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN c_custkey % 8 = 7 THEN 'NaN-text' END AS segment FROM customer",

@@ -220,6 +220,9 @@ def _forest(data: DataFrame, features: Sequence[str], label: str, salt: str, id_
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features").transform(data)
     vectors = vectors.select("_features", F.col(label).cast("double").alias("_label"), uniform(salt, "split", [id_column]).alias("_u"))
     vectors = materialize(vectors, "features")
+    top = int(vectors.agg(F.coalesce(F.max("_label"), F.lit(0.0))).first()[0]) + 1
+    if top > 100:  # more labels than the classifier assumes by itself have to be declared
+        vectors = vectors.withMetadata("_label", {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": top}})
     model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, seed=42).fit(vectors.filter("_u < 0.7"))
     scored = model.transform(vectors.filter("_u >= 0.7"))
     accuracy = scored.agg(F.avg((F.col("prediction") == F.col("_label")).cast("double")).alias("a")).first()["a"]
@@ -233,7 +236,10 @@ def membership_risk(
     original: DataFrame, derived: DataFrame, columns: Sequence[str], key: str, salt: str,
     sample: int = MEMBERSHIP_SAMPLE, trees: int = 100,
 ) -> DataFrame:
-    """How well a forest tells members from non-members by their distances to the derived table."""
+    """How well a forest tells members from non-members by their distances to the derived table.
+
+    The forest is fitted on a sample of at most ``sample`` labelled rows, half of either kind.
+    """
     n = min(sample, original.count())
     members = exact_sample(original, n // 2, [key], salt, "member").select(F.col(key).cast("string").alias("qid"), *columns)
     outsiders = non_member_rows(original, n // 2, salt, columns).withColumn("qid", F.concat(F.lit("n"), F.col("row_id").cast("string")))
@@ -251,7 +257,7 @@ def membership_risk(
 
 
 def attribute_risk(
-    derived: DataFrame, key: str, salt: str, targets: Sequence[str] | None = None, trees: int = 100, max_classes: int = 100
+    derived: DataFrame, key: str, salt: str, targets: Sequence[str] | None = None, trees: int = 100
 ) -> DataFrame:
     """Accuracy of predicting each target column from the others, beyond guessing; one row per target."""
     columns = [c for c in derived.columns if c != key]
@@ -270,8 +276,6 @@ def attribute_risk(
         scale = fit_scale(ready, features)
         ready = ready.select(key, "_target", *[scale.column(c).alias(c) for c in features])
         classes = ready.agg(F.count_distinct("_target").alias("k")).first()["k"]
-        if classes > max_classes:
-            raise ValueError(f"{target} has {classes} classes; bin it first")
         accuracy, auc, importance = _forest(ready, features, "_target", salt, key, trees, classes)
         baseline = 0.5 if classes <= 2 else 1.0 / classes
         rows.append((target, accuracy, baseline, accuracy - baseline, auc, dict(zip(features, importance))))
@@ -333,20 +337,17 @@ def assess_attacks(
     targets: Sequence[str] | None = None,
     trees: int = 100,
 ) -> DataFrame:
-    """``(attack_type, score, risk_level)`` per attack; unknown names are skipped, a failing attack is ``unknown``."""
+    """``(attack_type, score, risk_level)`` per attack; unknown names are skipped, and an error in an attack is raised, never a score."""
     out = None
     for name in [a.lower() for a in attacks if a.lower() in ATTACKS]:
-        try:
-            if name == "linkage":
-                one = linkage_risk(original, derived, columns, key, salt, ratio).withColumnRenamed("success_rate", "score")
-            elif name == "membership":
-                one = membership_risk(original, derived, columns, key, salt, trees=trees).withColumnRenamed("attack_advantage", "score")
-            else:
-                per_target = attribute_risk(derived.select(key, *columns), key, salt, targets, trees)
-                one = attribute_summary(per_target).withColumnRenamed("attack_advantage", "score")
-            one = materialize(one.select("attack_type", "score", "risk_level"), name)
-        except ValueError:
-            one = original.sparkSession.createDataFrame([(name, 0.0, "unknown")], "attack_type string, score double, risk_level string")
+        if name == "linkage":
+            one = linkage_risk(original, derived, columns, key, salt, ratio).withColumnRenamed("success_rate", "score")
+        elif name == "membership":
+            one = membership_risk(original, derived, columns, key, salt, trees=trees).withColumnRenamed("attack_advantage", "score")
+        else:
+            per_target = attribute_risk(derived.select(key, *columns), key, salt, targets, trees)
+            one = attribute_summary(per_target).withColumnRenamed("attack_advantage", "score")
+        one = materialize(one.select("attack_type", "score", "risk_level"), name)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return original.sparkSession.createDataFrame([], "attack_type string, score double, risk_level string")

@@ -75,10 +75,13 @@ def enforce_budget(
 
 
 def privacy_loss(operations: DataFrame) -> DataFrame:
-    """Composed loss of ``queries`` uses of a mechanism with (epsilon, delta)."""
+    """Composed loss of ``queries`` uses of a mechanism with (epsilon, delta).
+
+    The Gaussian formula has no bound at delta 0: its epsilon loss is infinite there.
+    """
     mechanism = F.lower("mechanism")
     e, d, q = F.col("epsilon"), F.col("delta"), F.col("queries").cast("double")
-    composed = F.when(mechanism == "gaussian", e * F.sqrt(F.lit(2.0) * q * F.ln(F.lit(1.0) / d))).otherwise(e * q)
+    composed = F.when((mechanism == "gaussian") & (d <= 0), F.lit(float("inf"))).when(mechanism == "gaussian", e * F.sqrt(F.lit(2.0) * q * F.ln(F.lit(1.0) / d))).otherwise(e * q)
     return operations.withColumns(
         {"epsilon_loss": composed, "delta_loss": F.when(mechanism == "laplace", F.lit(0.0)).otherwise(d * q)}
     )

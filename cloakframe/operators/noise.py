@@ -176,14 +176,14 @@ def exponential_mechanism(
     top = fitted.table.agg(F.max("n").alias("m")).first()["m"]
     weight = F.exp(F.lit(epsilon / (2 * sensitivity)) * (F.col("n") - F.lit(top)))
     weighted = fitted.table.select("value", weight.alias("w"))
+    running = domains.running_weights(weighted)
     if fitted.nulls:
-        spark = df.sparkSession
-        null_row = spark.range(1).select(
-            F.lit(None).cast(fitted.table.schema["value"].dataType).alias("value"),
-            F.lit(math.exp(-epsilon / (2 * sensitivity) * top)).alias("w"),
-        )
-        weighted = weighted.unionByName(null_row)
-    return domains.draw_large(df, column, domains.running_weights(weighted), u, max(1, fitted.size // 64)).select(*df.columns)
+        # last in the order, as in the array
+        w = math.exp(-epsilon / (2 * sensitivity) * top)
+        if w > 0:
+            null = F.lit(None).cast(fitted.table.schema["value"].dataType)
+            running = running.unionByName(running.agg(F.max("hi").alias("_t")).select(null.alias("value"), F.lit(w).alias("w"), (F.col("_t") + w).alias("hi")))
+    return domains.draw_large(df, column, running, u, max(1, fitted.size // 64)).select(*df.columns)
 
 
 def exponential_numeric(

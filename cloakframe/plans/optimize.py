@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.search import default_parameters, parameter_grid, random_points
-from .anonymize import anonymize
+from .anonymize import anonymize, check_parameters
 
 
 @dataclass(frozen=True)
@@ -40,25 +40,26 @@ def optimize(
     """Evaluate at most ``max_iterations`` parameter sets and keep the smallest objective.
 
     Privacy is a risk (0 = best): mean of re-identification, attack scores and
-    overall risk. A failing trial is skipped; without any success the level's
-    defaults are returned.
+    overall risk. Impossible parameters are skipped and listed; other errors are
+    raised. Without any trial the level's defaults are returned.
     """
     spark = df.sparkSession
     points = parameter_grid(method, level) if strategy == "grid" else random_points(spark, method, max_iterations, salt)
     trials, failures = [], []
     for i, p in enumerate(points[:max_iterations]):
         try:
-            out = anonymize(
-                df, method, key, f"{salt}:{i}", p["epsilon"], p["delta"], quasi_identifiers, sensitive, attacks, trees,
-                k=int(p.get("k_anonymity", 3)), suppression_threshold=p.get("suppression_threshold", 0.05),
-            )
-            risk = [out.privacy.first()["re_identification_risk"]]
-            risk += [r["score"] for r in out.attacks.collect()]
-            risk.append(out.overall.first()["overall_risk_score"])
-            utility = [float(v) for v in out.utility.first()]
+            check_parameters(p["epsilon"], p["delta"], method)
         except ValueError as e:
             failures.append(f"{p}: {e}")
             continue
+        out = anonymize(
+            df, method, key, f"{salt}:{i}", p["epsilon"], p["delta"], quasi_identifiers, sensitive, attacks, trees,
+            k=int(p.get("k_anonymity", 3)), suppression_threshold=p.get("suppression_threshold", 0.05),
+        )
+        risk = [out.privacy.first()["re_identification_risk"]]
+        risk += [r["score"] for r in out.attacks.collect()]
+        risk.append(out.overall.first()["overall_risk_score"])
+        utility = [float(v) for v in out.utility.first()]
         privacy, useful = _mean(risk), _mean(utility)
         score = privacy_weight * privacy + utility_weight * (1.0 - useful)
         trials.append((i, {k: float(v) for k, v in p.items()}, privacy, useful, score))

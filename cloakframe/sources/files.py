@@ -62,16 +62,14 @@ def name_errors(name: Column, size: Column, max_size: int = MAX_FILE_SIZE) -> Co
 
 
 def file_manifest(spark: SparkSession, path: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """One row per file under ``path``; oversized files are listed without reading their content."""
+    """One row per file under ``path``. Every file is hashed and searched; ``max_size`` only adds the error ``too_large``.
+
+    A file above 2 GiB is more than one cell can hold: reading it fails instead of passing it unread.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    small = content_manifest(raw.filter(F.col("length") <= max_size), "content", ["path", "length"])
-    large = raw.filter(F.col("length") > max_size).select(
-        "path", "length", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"),
-        F.lit("").alias("patterns"), F.lit(False).alias("suspicious"),
-    )
     errors = name_errors(name, F.col("length"), max_size)
-    return small.unionByName(large).select(
+    return content_manifest(raw, "content", ["path", "length"]).select(
         "path", name.alias("name"), extension(name).alias("extension"), "size", "sha256", "patterns", "suspicious",
         F.array_join(errors, ",").alias("errors"), ((F.size(errors) == 0) & ~F.col("suspicious")).alias("valid"),
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,6 @@ from ..operators.stats import COLUMNS_PER_JOB, null_count, single_row
 DELIMITERS = [",", ";", "\t", "|"]
 MAX_ROWS = 1_000_000
 MAX_COLUMNS = 1_000
-_SNIFF_LINES = 1_000
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -48,20 +50,60 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
     return out
 
 
+@dataclass(frozen=True)
+class Dialect:
+    delimiter: str
+    encoding: str
+    multi_line: bool  # a quoted value spans lines somewhere, so files cannot be split
+
+
+def csv_dialect(spark: SparkSession, path: str) -> Dialect:
+    """Dialect of a CSV folder, from one aggregate over all its lines.
+
+    The delimiter is the one whose number outside quotes agrees most often with the
+    first line's, the one with more of them on ties. One line that is not UTF-8
+    makes the encoding Latin-1; one line with an odd number of quotes makes records span lines.
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    head = lines.head()
+    if head is None:
+        return Dialect(",", "utf-8", False)
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    number = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
+    first = {d: re.sub('"[^"]*"', "", head["value"]).count(d) for d in DELIMITERS}
+    seen = [d for d in DELIMITERS if first[d]]
+    row = lines.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(number(F.col("value"), '"') % 2 == 1).alias("odd"),
+        *[F.count_if(number(bare, d) == first[d]).alias(f"d{i}") for i, d in enumerate(seen)],
+    ).first()
+    best = max(seen, key=lambda d: (row[f"d{seen.index(d)}"], first[d]), default=",")
+    return Dialect(best, "iso-8859-1" if row["invalid"] else "utf-8", row["odd"] > 0)
+
+
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(delimiter, encoding): the delimiter that occurs equally often on the first lines, most often on ties."""
-    lines = [r["value"] for r in spark.read.text(path).limit(_SNIFF_LINES).collect()]
-    lines = [line for line in lines if line.strip()]
-    encoding = "iso-8859-1" if any("�" in line for line in lines) else "utf-8"
-    best, score = ",", (-1.0, 0)
-    for d in DELIMITERS:
-        counts = [line.count(d) for line in lines]
-        if not counts or max(counts) == 0:
-            continue
-        agree = sum(1 for n in counts if n == counts[0] and n > 0) / len(counts)
-        if (agree, counts[0]) > score:
-            best, score = d, (agree, counts[0])
-    return best, encoding
+    """(delimiter, encoding) of :func:`csv_dialect`."""
+    found = csv_dialect(spark, path)
+    return found.delimiter, found.encoding
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def read_csv_records(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Every record as text columns; ``_corrupt_record`` holds those that do not fit the header, and is null otherwise.
+
+    ``multi_line=False`` keeps large files splittable where no quoted value holds a line feed; by default the data decide.
+    """
+    if delimiter is None or encoding is None or multi_line is None:
+        found = csv_dialect(spark, path)
+        delimiter, encoding = delimiter or found.delimiter, encoding or found.encoding
+        multi_line = found.multi_line if multi_line is None else multi_line
+    options = {"header": True, "sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": multi_line, "lineSep": "\n" if multi_line else None}
+    reader = spark.read.options(**{k: v for k, v in options.items() if v is not None})
+    header = reader.csv(path).schema
+    schema = T.StructType([*[T.StructField(f.name, T.StringType()) for f in header], T.StructField(_CORRUPT, T.StringType())])
+    # without pruning, the columns asked for never decide which records count as corrupt
+    return reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, columnPruning=False).schema(schema).csv(path)
 
 
 def scan_csv(
@@ -71,16 +113,19 @@ def scan_csv(
     delimiter: str | None = None,
     encoding: str | None = None,
     infer: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV with a header; the dialect is sniffed, malformed lines are dropped, null tokens become null.
+    """CSV with a header; the dialect is found from the whole text, null tokens become null.
 
-    Pass ``schema`` on large inputs: it saves the type-inference pass.
+    Records that do not fit the header are left out with a warning that counts them;
+    :func:`read_csv_records` shows them. Pass ``schema`` on large inputs: it saves the type-inference pass.
     """
-    if delimiter is None or encoding is None:
-        found = sniff_csv(spark, path)
-        delimiter, encoding = delimiter or found[0], encoding or found[1]
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("mode", "DROPMALFORMED").option("escape", '"')
-    raw = normalize_nulls(reader.csv(path))
+    records = read_csv_records(spark, path, delimiter, encoding, multi_line)
+    columns = [c for c in records.columns if c != _CORRUPT]
+    wrong = records.agg(F.count(_CORRUPT).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()["n"]
+    if wrong:
+        warnings.warn(f"{wrong} records of {path} do not fit the header and are left out", stacklevel=2)
+    raw = normalize_nulls(records.where(F.col(_CORRUPT).isNull()).select(*columns))
     if schema is not None:
         types = {f.name: f.dataType for f in schema if f.name in raw.columns}
     else:
@@ -95,7 +140,9 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("sep", delimiter).option("escape", '"').csv(path)
+    """Quoted where needed, so that :func:`scan_csv` reads every value back (carriage returns next to line feeds excepted)."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, sep=delimiter, escape='"', **keep).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -120,10 +167,10 @@ def load_dataset(spark: SparkSession, root: str, file_id: str) -> DataFrame | No
         raise
 
 
-def load_gate(df: DataFrame, max_rows: int | None = MAX_ROWS, max_columns: int | None = MAX_COLUMNS) -> DataFrame:
+def load_gate(df: DataFrame, max_rows: int | None = None, max_columns: int | None = MAX_COLUMNS) -> DataFrame:
     """``(severity, check, value)``: no rows or columns, limits exceeded; empty columns, sparsity above 0.9.
 
-    ``max_rows=None`` lifts the row limit, which is meant for interactive uploads.
+    ``max_rows`` is off by default; ``MAX_ROWS`` is the limit meant for interactive uploads.
     """
     width = len(df.columns)
     counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(df.columns)])

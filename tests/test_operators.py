@@ -379,3 +379,20 @@ def test_domain_counts_null_as_a_value(spark):
     df = frame(spark, [("b",), (None,), ("a",), ("b",)], "v string")
     d = domains.fit_domain(df, "v")
     assert d.values == ["a", "b"] and d.counts == [1, 2] and d.nulls == 1 and d.k == 3
+
+
+def test_a_target_of_many_classes_gets_a_score(spark):
+    df = spark.range(1500).select("id", (F.col("id") % 150).cast("string").alias("target"), (F.col("id") % 150).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    row = attacks.attribute_risk(df, "id", "s", ["target"], trees=5).first()
+    assert row["accuracy"] > 0.3 and abs(row["baseline_accuracy"] - 1 / 150) < 1e-9
+    found = attacks.assess_attacks(df, df, ["target", "a", "b"], "id", "s", ["attribute"], targets=["target"], trees=5).first()
+    assert found["risk_level"] == "high" and found["score"] > 0.3
+
+
+def test_membership_features_in_blocks(spark, monkeypatch):
+    from cloakframe.operators import distances
+
+    df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("a"), F.concat(F.lit("c"), F.col("id") % 3).alias("c"))
+    whole = attacks.membership_features(df, df, ["a", "c"], "k").orderBy("k").collect()
+    monkeypatch.setattr(distances, "QUERY_BLOCK", 25)
+    assert attacks.membership_features(df, df, ["a", "c"], "k").orderBy("k").collect() == whole

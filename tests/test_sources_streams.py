@@ -33,6 +33,37 @@ def test_latin1_is_detected(spark, tmp_path):
     assert tables.scan_csv(spark, str(path)).first()["name"] == "José"
 
 
+def test_a_late_line_decides_the_encoding(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes(("id,name\n" + "".join(f"{i},x\n" for i in range(3000)) + "3000,Jos\xe9\n").encode("latin-1"))
+    assert tables.scan_csv(spark, str(path)).where("id = 3000").first()["name"] == "José"
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["a\nb", 'say "hi", then; go', "  lead and trail  ", "tab\there|pipe", "\n\n", '"', "plain", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for sep in (",", ";"):
+        tables.write_csv(df, str(tmp_path / sep.replace(";", "s")), sep)
+        back = tables.scan_csv(spark, str(tmp_path / sep.replace(";", "s")), df.schema)
+        got = {r["id"]: r["text"] for r in back.collect()}
+        assert got == {i: None if t is None or not t.strip(" ") else t for i, t in enumerate(texts)}
+
+
+def test_csv_counts_what_does_not_fit(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text("id,name\n1,a\n2,b,extra\n3,c\n")
+    with pytest.warns(UserWarning, match="1 records"):
+        assert sorted(r["id"] for r in tables.scan_csv(spark, str(path)).collect()) == [1, 3]
+    records = tables.read_csv_records(spark, str(path))
+    assert [r["_corrupt_record"] for r in records.collect() if r["_corrupt_record"]] == ["2,b,extra"]
+
+
+def test_large_files_are_hashed_and_searched(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("x" * 500 + "<script>alert(1)</script>")
+    row = files.file_manifest(spark, str(tmp_path), max_size=100).first()
+    assert row["errors"] == "too_large" and row["suspicious"] and len(row["sha256"]) == 64 and not row["valid"]
+
+
 def test_json_record_array(spark, tmp_path):
     path = tmp_path / "x.json"
     path.write_text('[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"}]')
