@@ -66,7 +66,7 @@ def suppress_rare_combinations(
     base = df if nulls == "group" else df.filter(no_null(qi))
     counts = base.groupBy(*qi).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
-    return anti_join_rare(df, qi, counts, "_n", total, k)
+    return anti_join_rare(df, qi, counts, "_n", total, k, nulls == "group")
 
 
 def microaggregate(

@@ -40,20 +40,20 @@ def _zero(keys: Sequence[str]):
     return F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
 
 
-def anti_join_rare(df: DataFrame, keys: Sequence[str], counts: DataFrame, n: str, total: int, k: int) -> DataFrame:
+def anti_join_rare(df: DataFrame, keys: Sequence[str], counts: DataFrame, n: str, total: int, k: int, null_keys: bool = False) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``counts`` with fewer than ``k`` rows.
 
-    Rows of a hot key cannot be rare, and ``counts`` has no key with a null; both
-    carry a random salt that matches nothing, so the anti join spreads them
-    instead of sending them to one task.
+    Rows of a hot key cannot be rare, and ``counts`` has no key with a null unless
+    ``null_keys``; both carry a random salt that matches nothing, so the anti join
+    spreads them instead of sending them to one task.
     """
-    counts = counts.filter(~_any_null(keys))
+    unmatched = F.lit(False) if null_keys else _any_null(keys)
     hot = hot_keys(counts.filter(F.col(n) >= k), keys, n, total)
     hot = hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(keys)], F.lit(True).alias("_hot"))
     flagged = df.join(F.broadcast(hot), _same(df, hot, keys, [f"_h{i}" for i in range(len(keys))]), "left")
     flagged = flagged.withColumn(
         "_salt",
-        F.when(F.col("_hot") | _any_null(keys), F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(SPREAD)) + 1).otherwise(
+        F.when(F.col("_hot") | unmatched, F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(SPREAD)) + 1).otherwise(
             F.lit(0).cast("bigint")
         ),
     ).drop("_hot", *[f"_h{i}" for i in range(len(keys))])
