@@ -166,9 +166,9 @@ def _long(section: str, df: DataFrame) -> DataFrame:
 
 def check_period(start: datetime, end: datetime) -> None:
     if start > end:
-        raise ValueError("Start date must be before end date")
+        raise ValueError("the period ends before it starts")
     if (end - start).days > 365:
-        raise ValueError("Date range cannot exceed 365 days")
+        raise ValueError("a report covers 365 days at most")
 
 
 def compliance_report(

@@ -209,7 +209,7 @@ def apply_dp(
     """Perturb every column except the row key with the named mechanism."""
     name = mechanism.lower()
     if name not in MECHANISMS:
-        raise ValueError(f"Unknown DP mechanism: {mechanism}")
+        raise ValueError(f"no such noise mechanism: {mechanism}")
     if name == "gaussian":
         return gaussian_mechanism(df, epsilon, delta, key, salt, sensitivity, columns, **options)
     if name == "laplace":

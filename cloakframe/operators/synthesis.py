@@ -187,9 +187,9 @@ def sample_gaussian_copula(fit: Copula, salt: str, spark, n: int | None = None)
 def check_output(original: DataFrame, synthetic: DataFrame) -> list[str]:
     """Raise on different columns or order; list the columns whose kind changed."""
     if len(original.columns) != len(synthetic.columns):
-        raise ValueError("Synthetic data has different number of columns")
+        raise ValueError("the drawn table has more or fewer columns")
     if original.columns != synthetic.columns:
-        raise ValueError("Synthetic data has different column names")
+        raise ValueError("the drawn table names its columns otherwise")
     kinds = zip(original.schema, synthetic.schema)
     return [a.name for a, b in kinds if roles.is_numeric(a.dataType) != roles.is_numeric(b.dataType)]
 

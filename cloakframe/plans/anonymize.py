@@ -21,15 +21,15 @@ METHODS = ("sdg", "dp", "sdc", "sdg_dp", "sdg_sdc", "dp_sdc", "full")
 def check_parameters(epsilon: float, delta: float, method: str) -> list[str]:
     """Raise on impossible parameters; returns warnings about weak ones."""
     if epsilon <= 0:
-        raise ValueError("Epsilon must be positive")
+        raise ValueError("epsilon has to be above 0")
     if not 0 < delta < 1:
-        raise ValueError("Delta must be between 0 and 1")
+        raise ValueError("delta has to lie between 0 and 1")
     if method not in METHODS:
-        raise ValueError(f"Unknown anonymization method: {method}")
+        raise ValueError(f"no such protection method: {method}")
     rules = [
-        (epsilon > 10, "High epsilon value may provide weak privacy protection"),
-        (epsilon < 0.1, "Very low epsilon may significantly reduce data utility"),
-        (delta > 1e-3, "High delta value may weaken privacy guarantees"),
+        (epsilon > 10, "epsilon above 10 hides little"),
+        (epsilon < 0.1, "epsilon below 0.1 drowns the data in noise"),
+        (delta > 1e-3, "delta above 0.001 lets too many rows through"),
     ]
     return [text for hit, text in rules if hit]
 
