@@ -28,19 +28,23 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return out.unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node is either the centre of links or the end of one."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    centres = links.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    seen = ends.unionByName(centres).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every node of ``links`` (a, b: long) that is not the smallest of its component.
 
     Nulls and links of a node to itself are left out. A node that is missing from the result is its own component.
     """
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
-    while True:
+    while not _are_stars(now):
         now = materialize(_star(_star(now, True), False), "links")
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        mark = tuple(found)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def local_roots(a, b, n):

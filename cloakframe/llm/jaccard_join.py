@@ -171,9 +171,10 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cen
 
 
 def _compare(per_cent: int, main: bool):
-    """Links among the sets of a group as stars; ``main``: only those of an asking set with another component."""
+    """Links among the sets of a group as stars around the smallest id; ``main``: only those of an asking set with another one."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         ids = table.column("id").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         everyone = np.arange(len(ids))
@@ -181,7 +182,8 @@ def _compare(per_cent: int, main: bool):
         a, b = similar(sets, left, everyone, per_cent)
         root = local_roots(a, b, len(ids))
         at = np.flatnonzero(root != everyone)
-        return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[root[at]])})
+        large = main or table.column("blocks")[0].as_py() > 1
+        return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[root[at]]), "large": pa.array(np.full(len(at), large))})
 
     return run
 
@@ -195,17 +197,18 @@ def _blocks(sets: DataFrame) -> DataFrame:
 
 
 def _verified(entries: DataFrame, per_cent: int) -> DataFrame:
-    """Verified links (a, b) that span every component of ``entries``: ``id, n, tokens, cluster``."""
+    """``id, component`` of every set of ``entries`` (``id, n, tokens, cluster``) that is not the smallest of its component."""
     sets = materialize(_blocks(entries), "sets")
     # first round: every block with itself and with block 0
     targets = F.when((F.col("blocks") > 1) & (F.col("block") == 0), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = sets.withColumn("target", F.explode(targets)).select("cluster", "target", "id", "tokens")
-    links = materialize(first.groupBy("cluster", "target").applyInArrow(_compare(per_cent, False), "a long, b long"), "links")
+    first = sets.withColumn("target", F.explode(targets)).select("cluster", "target", "blocks", "id", "tokens")
+    links = materialize(first.groupBy("cluster", "target").applyInArrow(_compare(per_cent, False), "a long, b long, large boolean"), "links")
+    done = links.where("not large").select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return links
+        return done
     # second round: sets outside the main component of a large cluster ask all sets of the cluster
-    label = components(links)
+    label = components(links.where("large"))
     labelled = large.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     counts = labelled.groupBy("cluster", "label").count()
     main = counts.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
@@ -215,8 +218,8 @@ def _verified(entries: DataFrame, per_cent: int) -> DataFrame:
     asks = marked.where("outside").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int"))
     asks = asks.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "g", "target", "id", "tokens", F.lit(True).alias("asks"))
     told = marked.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cluster", "g", F.col("block").alias("target"), "id", "tokens", F.lit(False).alias("asks"))
-    more = asks.unionByName(told).groupBy("cluster", "g", "target").applyInArrow(_compare(per_cent, True), "a long, b long")
-    return links.unionByName(materialize(more, "links"))
+    more = asks.unionByName(told).groupBy("cluster", "g", "target").applyInArrow(_compare(per_cent, True), "a long, b long, large boolean")
+    return done.unionByName(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
@@ -238,8 +241,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
     # the smallest id of a cluster is no row of the components
     heads = clusters.select(F.col("component").alias("id")).distinct().withColumn("cluster", F.col("id"))
     members = clusters.select("id", F.col("component").alias("cluster")).unionByName(heads)
-    verified = _verified(senders.select("id", "n", "tokens").join(members, "id"), per_cent)
-    label = components(verified)
+    label = _verified(senders.select("id", "n", "tokens").join(members, "id"), per_cent)
     placed = sets.join(label, "id", "left").select("n", "one", "two", F.coalesce("component", "id").alias("component_id"))
     return (
         rows.select("doc_id", "n", "one", "two").join(placed, ["n", "one", "two"], "left")
