@@ -116,6 +116,10 @@ def completeness_score(spark, sf):
     return rounded(ops.completeness_score(_gappy(spark, sf)))
 
 
+def quality_by_column(spark, sf):
+    return rounded(ops.quality_by_column(_gappy(spark, sf)))
+
+
 def uniqueness_score(spark, sf):
     return rounded(ops.uniqueness_score(_lines(spark, sf)))
 
@@ -152,7 +156,7 @@ QUERIES = {
     for f in (
         check_structure, infer_text_kind, missing_columns, constant_columns, high_cardinality_columns, duplicate_rows, detect_sensitive_columns,
         zscore_outliers, skewed_columns, validate_schema, violating_rows, validate_dataset, validation_recommendations, completeness_score,
-        uniqueness_score, casing_consistency, casing_issues, iqr_outliers, quality_report, quality_recommendations,
+        quality_by_column, uniqueness_score, casing_consistency, casing_issues, iqr_outliers, quality_report, quality_recommendations,
     )
 }
 
@@ -238,6 +242,8 @@ ORACLES = {
     "validate_dataset": f"WITH {_VALIDATE} SELECT * FROM f UNION ALL " + _find("below_minimum", "c_acctbal", "error", "n", "FROM (SELECT count(*) AS n FROM g WHERE c_acctbal < 0) WHERE n > 0"),
     "validation_recommendations": f"WITH {_VALIDATE} " + " UNION ALL ".join(f"SELECT '{text}' AS recommendation WHERE EXISTS (SELECT 1 FROM f WHERE \"check\" = '{c}')" for c, text in _ADVICE),
     "completeness_score": f"WITH g AS ({GAPPY}) SELECT {r('1.0::DOUBLE - (' + ' + '.join(f'(count(*) - count({c})) / count(*)::DOUBLE' for c in _CHECKS) + ') / 5.0::DOUBLE')} AS completeness FROM g",
+    "quality_by_column": f"WITH g AS ({GAPPY}) " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {r(f'(count(*) - count({c})) / count(*)::DOUBLE')} AS missing_ratio, {r(f'count(DISTINCT {c}) / count(*)::DOUBLE')} AS uniqueness_ratio FROM g" for c in _CHECKS),
     "uniqueness_score": f"SELECT {_DUPES} AS duplicate_rows, {r(f'1.0::DOUBLE - {_DUPES} / count(*)::DOUBLE')} AS uniqueness FROM lineitem",
     "casing_consistency": f"SELECT {r('1.0::DOUBLE - 1 / 4.0::DOUBLE')} AS consistency",
     "casing_issues": "SELECT 'priority' AS \"column\", count(DISTINCT p) AS \"distinct\", count(DISTINCT lower(p)) AS distinct_lower FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p FROM orders)",

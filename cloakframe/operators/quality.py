@@ -111,8 +111,8 @@ def missing_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def distinct_per_column(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    return _per_column(df, list(columns or df.columns), lambda c: fn(F.col(c)))
+    count = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else (lambda c: F.count_distinct(F.col(c)))
+    return _per_column(df, list(columns or df.columns), count)
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def detect_sensitive_columns(df: DataFrame) -> DataFrame:
         exprs[f"e{i}"] = F.count_if(v.rlike(patterns.EMAIL))
         exprs[f"p{i}"] = F.count_if(v.rlike(patterns.PHONE))
         exprs[f"a{i}"] = F.min(F.regexp_replace(v, "[-_]", "").rlike(patterns.ALPHANUMERIC))
-        exprs[f"d{i}"] = F.approx_count_distinct(v)
+        exprs[f"d{i}"] = F.approx_count_distinct(v, 0.01)
     seen = single_row(df, exprs)
 
     def cell(column: str, reason: str, confidence: str) -> Column:
@@ -337,6 +337,13 @@ def uniqueness_score(df: DataFrame) -> DataFrame:
     )
 
 
+def quality_by_column(df: DataFrame) -> DataFrame:
+    """``(column, missing_ratio, uniqueness_ratio)``: shares of null cells and of distinct values among all rows."""
+    missing = _per_column(df, df.columns, null_count).select("column", _share(F.col("n"), F.col("rows")).alias("missing_ratio"))
+    distinct = distinct_per_column(df).select("column", _share(F.col("n"), F.col("rows")).alias("uniqueness_ratio"))
+    return missing.join(distinct, "column")  # one row per column
+
+
 def casing_issues(df: DataFrame) -> DataFrame:
     """Text columns with fewer distinct values after lowercasing."""
     texts = roles.text_columns(df)

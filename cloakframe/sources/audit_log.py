@@ -31,6 +31,8 @@ AUDIT_EVENT = T.StructType(
     ]
 )
 
+FILES_A_DAY = 8
+
 
 def conform(events: DataFrame, schema: T.StructType = AUDIT_EVENT) -> DataFrame:
     """Exactly the schema's columns, cast; missing ones are null."""
@@ -40,8 +42,9 @@ def conform(events: DataFrame, schema: T.StructType = AUDIT_EVENT) -> DataFrame:
 
 
 def append_audit_log(events: DataFrame, root: str) -> None:
-    """Append events to their day's folder."""
-    conform(events).withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(root)
+    """Append events to their day's folder, at most ``FILES_A_DAY`` files each time."""
+    dated = conform(events).withColumn("date", F.to_date("timestamp"))
+    dated.repartition("date", F.pmod(F.xxhash64("id"), F.lit(FILES_A_DAY))).write.mode("append").partitionBy("date").json(root)
 
 
 def read_audit_log(spark: SparkSession, root: str) -> DataFrame:
