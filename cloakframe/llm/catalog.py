@@ -10,7 +10,7 @@ from .embedding_dups import embedding_dups
 from .jaccard_join import jaccard_join
 from .kk_packing import kk_packing
 from .language_crf import language
-from .line_rules import MEASURES, line_rules
+from .line_rules import LEAST_LEFT, MAX_DOCS, MEASURES, line_rules
 from .minimax_shards import minimax_shards
 from .quality_svm import quality
 from .source_mix import source_mix
@@ -71,4 +71,39 @@ QUERIES = {
     "op9_embedding_dups": op9_embedding_dups,
     "op10_line_rules": op10_line_rules,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LINE_RULES = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT row, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM d),
+grams AS (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM windows),
+repeated AS (SELECT row, count(DISTINCT i + j) AS n FROM grams, range(5) t(j) WHERE n > 1 GROUP BY row),
+split AS (SELECT row, source, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS MATERIALIZED (SELECT row, source, line, {_WORDS.format(f"translate(line, '{_UPPER}', '{_LOWER}')")} AS lw FROM split),
+real AS MATERIALIZED (SELECT row, source, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM lines WHERE len(lw) > 0),
+copies AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM real GROUP BY row),
+frequent AS (SELECT source, norm FROM real GROUP BY source, norm HAVING count(DISTINCT row) > {MAX_DOCS}),
+removed AS (SELECT row, sum(real.n) AS n FROM real JOIN frequent ON real.norm = frequent.norm AND real.source IS NOT DISTINCT FROM frequent.source GROUP BY row),
+m AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(copies.n, 0)::BIGINT AS n_dup_lines,
+           coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS removed_words
+    FROM d LEFT JOIN copies USING (row) LEFT JOIN repeated USING (row) LEFT JOIN removed USING (row)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - removed_words) >= {LEAST_LEFT} * n_words AS kept
+FROM m"""
+_EMBEDDING_DUPS = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum([x * x for x in e])) AS norm FROM v
+    WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+component AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM v LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)"""
+
+#: The other operators draw, learn, search iteratively or go byte by byte; tests/llm holds those against brute force.
+ORACLES: dict[str, str] = {"op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES}
