@@ -85,7 +85,7 @@ def _numbered(rows: DataFrame, buckets: Column, hashed: Column, order: list[str]
     local = placed.withColumn("_local", _before("_n", inside))
     sums = placed.groupBy("sid", "_bucket").agg(F.sum("_n").alias("_sum"))
     offsets = sums.select("sid", "_bucket", _before("_sum", Window.partitionBy("sid").orderBy("_bucket")).alias("_offset"))
-    return local.join(offsets, ["sid", "_bucket"]).withColumn(name, F.col("_local") + F.col("_offset")).drop("_h", "_bucket", "_n", "_local", "_offset")
+    return local.join(_sorted(offsets), ["sid", "_bucket"]).withColumn(name, F.col("_local") + F.col("_offset")).drop("_h", "_bucket", "_n", "_local", "_offset")
 
 
 def _exploded(rows: DataFrame, count: Column, name: str, chunk: int = 4096) -> DataFrame:
@@ -95,6 +95,11 @@ def _exploded(rows: DataFrame, count: Column, name: str, chunk: int = 4096) -> D
     return chunks.withColumn(name, F.explode(F.sequence(F.col("_chunk") * chunk, last))).drop("_chunk")
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Keeps a side that grows with the words out of a broadcast: its size is estimated from the few sources it is made of."""
+    return rows.hint("merge")
+
+
 def mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17) -> Mix:
     """The mix of ``sized``, a written table of ``row, skey, size, hash``.
 
@@ -119,25 +124,26 @@ def mix(sized: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 17
     owners = _exploded(sources.withColumn("_from", _before("wanted", order)).select("sid", "wanted", "_from"), F.col("wanted"), "_i")
     owners = owners.select("sid", (F.col("_from") + F.col("_i")).alias("ticket"))
     tickets = spark.range(drawn).select(F.floor(F.col("id") / slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(max(drawn, 1))).alias("ticket"))
-    counts = materialize(tickets.join(owners, "ticket").groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "draws")
-    by_shard = Window.partitionBy("sid").orderBy("shard")
-    slotted = counts.withColumn("_first", _before("n", by_shard)).withColumn("g", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)))
+    counts = materialize(tickets.join(_sorted(owners), "ticket").groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "draws")
     got = sources.join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     got = got.withColumn("over", F.greatest(F.col("got") - F.col("wanted"), F.lit(0))).withColumn("under", F.greatest(F.col("wanted") - F.col("got"), F.lit(0)))
-    got = got.select("sid", "wanted", "got", "under", _before("over", order).alias("over_from"), _before("under", order).alias("under_from"))
-    slotted = slotted.join(got.select("sid", "wanted", "over_from"), "sid")
-    keep = slotted.where(F.col("g") < F.col("wanted")).select("shard", "sid", "g")
+    got = got.select("sid", "blocks", "wanted", "got", "under", _before("over", order).alias("over_from"), _before("under", order).alias("under_from"))
+    # joins with the sources come before counts become slots
+    by_shard = Window.partitionBy("sid").orderBy("shard")
+    slotted = counts.withColumn("_first", _before("n", by_shard)).join(got.select("sid", "blocks", "wanted", "over_from"), "sid")
+    slotted = slotted.withColumn("g", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)))
+    keep = slotted.where(F.col("g") < F.col("wanted")).select("shard", "sid", "blocks", "g")
     spare = slotted.where(F.col("g") >= F.col("wanted")).select("shard", (F.col("over_from") + F.col("g") - F.col("wanted")).alias("_t"))
-    need = _exploded(got, F.col("under"), "_i").select("sid", (F.col("under_from") + F.col("_i")).alias("_t"), (F.col("got") + F.col("_i")).alias("g"))
-    taken = keep.unionByName(spare.join(need, "_t").select("shard", "sid", "g")).join(sources.select("sid", "blocks"), "sid")
-    plan = taken.withColumn("place", F.pmod(F.col("g"), F.col("blocks"))).join(blocks.select("sid", "place", "block"), ["sid", "place"])
+    need = _exploded(got, F.col("under"), "_i").select("sid", "blocks", (F.col("under_from") + F.col("_i")).alias("_t"), (F.col("got") + F.col("_i")).alias("g"))
+    taken = keep.unionByName(spare.join(_sorted(need), "_t").select("shard", "sid", "blocks", "g"))
+    plan = taken.withColumn("place", F.pmod(F.col("g"), F.col("blocks"))).join(_sorted(blocks.select("sid", "place", "block")), ["sid", "place"])
     return Mix(sources, plan.select("shard", "sid", "g", "block"), parts)
 
 
 def uses(found: Mix) -> DataFrame:
     """``row, first, words, uses`` of each part of a document that the mix takes."""
     often = found.plan.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return found.parts.join(often, ["sid", "block"]).select("row", "first", "words", "uses")
+    return found.parts.join(_sorted(often), ["sid", "block"]).select("row", "first", "words", "uses")
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
