@@ -127,6 +127,8 @@ def _tokenize(path: str):
                     ids = b"".join([known[w] for w in words]) + END
                     out += [(doc, *p, len(ids) // 4) for p in pieces_of(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        if path in _known:  # the worker lives on: between tasks it keeps one generation only
+            _known[path].old = {}
 
     return run
 

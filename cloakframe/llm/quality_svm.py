@@ -114,8 +114,9 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         share = (n1 + 1) / (n + 2)
         return {"weight": np.zeros(1 << BITS, np.float32), "square": np.zeros(1 << BITS, np.float32), "curve": np.array([1.0, np.log(share / (1 - share))])}
     parts = [features(texts[i : i + 200]) for i in range(0, n, 200)]  # a few at a time keeps temporary arrays small
-    doc = np.concatenate([d + 200 * i for i, (d, _) in enumerate(parts)])
-    feature = np.concatenate([f for _, f in parts])
+    doc = np.concatenate([(d + 200 * i).astype(np.int32) for i, (d, _) in enumerate(parts)])
+    feature = np.concatenate([f.astype(np.int32) for _, f in parts])
+    del parts
     edge = np.searchsorted(doc, np.arange(n + 1))
     rows = [feature[edge[i] : edge[i + 1]] for i in range(n)]
     y = np.where(positive, 1.0, -1.0)
@@ -128,8 +129,8 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         return np.log((p / p.sum()) / (q / q.sum()))
 
     def scaled(ratio: np.ndarray) -> list[np.ndarray]:
-        out = [ratio[r] for r in rows]
-        return [v / max(np.sqrt(float(v @ v)), 1e-12) for v in out]
+        out = [ratio[r].astype(np.float32) for r in rows]
+        return [v / np.float32(max(np.sqrt(float(v @ v)), 1e-12)) for v in out]
 
     def fitted(use: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         ratio = ratios(use)
@@ -142,6 +143,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     curve = (4.0, 0.0)
     if positive[left].any() and not positive[left].all():
         curve = platt(np.array([float(weights[rows[i]] @ values[i]) for i in left]), positive[left])
+    del values
     weights, ratio, _ = fitted(np.ones(n, bool))
     return {"weight": (weights * ratio).astype(np.float32), "square": (ratio**2).astype(np.float32), "curve": np.array(curve)}
 

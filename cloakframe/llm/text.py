@@ -142,7 +142,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of about ``budget`` bytes of text, one document at least."""
     for batch in batches:
         if not batch.num_rows:
