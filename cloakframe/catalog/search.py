@@ -68,9 +68,9 @@ def optimization_report(spark, sf):
 
 
 def optimize(spark, sf):
-    """Every trial of the grid, each protecting and measuring the suppliers."""
+    """Every trial of the grid, each protecting, measuring and attacking the suppliers."""
     df = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
-    found = run_search(df, "dp_sdc", "s_suppkey", SALT, ["s_nationkey"], ["s_acctbal"], "low", attacks=["linkage"])
+    found = run_search(df, "dp_sdc", "s_suppkey", SALT, ["s_nationkey"], ["s_acctbal"], "low")
     return rounded(found.history.drop("parameters"))
 
 

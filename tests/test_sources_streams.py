@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime
+from inspect import signature
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from cloakframe.functions.times import moment
 from cloakframe.operators import audit, registry
 from cloakframe.plans.anonymize import anonymize, check_parameters, protect
-from cloakframe.plans.optimize import optimize
+from cloakframe.plans.optimize import Search, optimize
 from cloakframe.sources import audit_log, files, tables
 from cloakframe.sources import registry as registry_tables
 from cloakframe.streaming import audit_streams
@@ -204,3 +206,20 @@ def test_search_keeps_the_smallest_objective(spark):
     found = optimize(df, "dp", "id", "s", max_iterations=2, attacks=["linkage"])
     rows = found.history.collect()
     assert len(rows) == 2 and found.best["epsilon"] == min(rows, key=lambda r: r["objective_score"])["parameters"]["epsilon"]
+
+
+def test_registered_plans_run_every_attack(spark, monkeypatch):
+    every = {"linkage", "membership", "attribute"}
+    found = {r["metric"]: r["value"] for r in queries()["anonymize"](spark, "/root/testdata/sf0.001").where("section = 'attacks'").collect()}
+    assert every | {"overall_risk_score"} == set(found) and all(v is not None for v in found.values())
+    asked = []
+
+    def recorded(*args, **options):
+        call = signature(optimize).bind(*args, **options)
+        call.apply_defaults()
+        asked.append(set(call.arguments["attacks"]))
+        return Search({}, spark.createDataFrame([(0, {"epsilon": 1.0}, 0.5)], "iteration int, parameters map<string,double>, privacy_score double"), [])
+
+    monkeypatch.setattr("cloakframe.catalog.search.run_search", recorded)
+    assert queries()["optimize"](spark, "/root/testdata/sf0.001").count() == 1
+    assert asked == [every]
