@@ -242,8 +242,20 @@ def jaccard_join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
     heads = clusters.select(F.col("component").alias("id")).distinct().withColumn("cluster", F.col("id"))
     members = clusters.select("id", F.col("component").alias("cluster")).unionByName(heads)
     label = _verified(senders.select("id", "n", "tokens").join(members, "id"), per_cent)
+    # a doc_id with several texts links the sets of all of them, and names the component of its empty ones
+    kinds = F.struct("n", "one", "two")
+    named = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(kinds).alias("low"), F.max(kinds).alias("high"))
+    several = materialize(named.where("low <> high").select("doc_id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:
+        held = rows.join(several, "doc_id", "left_semi").select("doc_id", "n", "one", "two").distinct().join(sets, ["n", "one", "two"])
+        label = materialize(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(held.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))), "label")
     placed = sets.join(label, "id", "left").select("n", "one", "two", F.coalesce("component", "id").alias("component_id"))
-    return (
-        rows.select("doc_id", "n", "one", "two").join(placed, ["n", "one", "two"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    )
+    shown = ("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    bare = (F.col("n") == 0) & F.col("doc_id").isNotNull()
+    full = rows.where(~bare) if repeated else rows
+    out = full.select("doc_id", "n", "one", "two").join(placed, ["n", "one", "two"], "left").select(*shown)
+    if not repeated:
+        return out
+    by_id = label.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+    return out.unionByName(rows.where(bare).select("doc_id", "n").join(by_id, "doc_id", "left").select(*shown))

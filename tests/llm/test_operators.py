@@ -252,6 +252,21 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_jaccard_join_links_the_texts_of_one_doc_id(spark, monkeypatch, block):
+    import cloakframe.llm.jaccard_join as jj
+
+    monkeypatch.setattr(jj, "BLOCK_SETS", block)
+    rng = random.Random(4)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = lambda text: text + " more"
+    # 3 - 5 - 9 by equal texts; 1 - 20 - 2 by near ones, where 20 alone holds two sets; 30 with an empty text, and 31 of empty texts only
+    texts = [(3, a), (5, a), (5, b), (9, b), (9, None), (1, c), (20, near(c)), (20, near(d)), (2, d), (30, e), (30, None), (31, None), (31, ""), (25, near(e)), (None, a), (None, None)]
+    got = jaccard_join(frame(spark, [(i, t, "en", "s", 1) for i, t in texts]), 3, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(shingle_set(t, 3))) for i, t in texts)
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (9, 3), (1, 1), (20, 1), (2, 1), (30, 25), (25, 25), (31, 31), (None, None)}
+
+
 @pytest.mark.parametrize("per_cent", [80, 90])
 def test_similar_sets_always_share_a_signature(per_cent):
     rng = np.random.default_rng(per_cent)
