@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import read
 from .embedding_dups import embedding_dups
+from .fill_middle import MARKERS, PLAIN_FROM, SPM_BELOW, fill_middle, restore_middle
 from .jaccard_join import jaccard_join
 from .kk_packing import kk_packing
 from .language_crf import language
 from .line_rules import LEAST_LEFT, MAX_DOCS, MEASURES, line_rules
+from .merkle_manifest import ARITY, verified_manifest
 from .minimax_shards import minimax_shards
+from .piece_codec import decode_pieces, encode_pieces
 from .quality_svm import quality
 from .source_mix import source_mix
 from .suffix_dedup import suffix_dedup
@@ -59,6 +63,23 @@ def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules(read(spark, sf, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "removed_words")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return verified_manifest(read(spark, sf, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    found = restore_middle(fill_middle(read(spark, sf, "documents")))
+    return found.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+def op13_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode_pieces(encode_pieces(read(spark, sf, "documents"), path), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("text", 256).alias("decoded_sha256"), F.element_at("edges", -1).cast("long").alias("n_bytes"))
+
+
 QUERIES = {
     "op1_quality_svm": op1_quality_svm,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,6 +91,9 @@ QUERIES = {
     "op8_kk_packing": op8_kk_packing,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_line_rules": op10_line_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_piece_codec": op13_piece_codec,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -105,5 +129,41 @@ component AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
 FROM v LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)"""
 
+_FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}")) + ")"
+_MERKLE = f"""
+WITH RECURSIVE bits AS (SELECT list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c, i FROM range(256) t(i)),
+table_of AS (SELECT list(c ORDER BY i) AS crc FROM bits),
+d AS MATERIALIZED (SELECT *, {_LEAF.format("text")} AS leaf, {_LEAF.format(f"translate(text, '{_UPPER[:26]}', '{_LOWER[:26]}')")} AS changed,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+        lambda c, x: xor(c // 256, crc[(xor(c, x) % 256) + 1])), 4294967295) % 3 = 0 AS hit FROM documents, table_of),
+leaves AS MATERIALIZED (SELECT *, CASE WHEN hit THEN changed ELSE leaf END AS start, coalesce('1' || lang, '0') AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+up AS MATERIALIZED (SELECT 0 AS level, tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+    UNION ALL SELECT level + 1, tree, i // {ARITY}, sha256(string_agg(h, '' ORDER BY i)), any_value((n + {ARITY} - 1) // {ARITY}) FROM up WHERE n > 1 GROUP BY level, tree, i // {ARITY}),
+subroots AS MATERIALIZED (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM up WHERE n = 1),
+top AS MATERIALIZED (SELECT 0 AS level, i, h, count(*) OVER () AS n FROM subroots
+    UNION ALL SELECT level + 1, i // {ARITY}, sha256(string_agg(h, '' ORDER BY i)), any_value((n + {ARITY} - 1) // {ARITY}) FROM top WHERE n > 1 GROUP BY level, i // {ARITY}),
+nodes AS MATERIALIZED (SELECT tree, level, i, h, n FROM up UNION ALL SELECT '', level, i, h, n FROM top),
+sides AS MATERIALIZED (SELECT *, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes WINDOW run AS (PARTITION BY tree, level, i // {ARITY} ORDER BY i)),
+walk AS (SELECT 0 AS stage, leaves.tree AS own, leaves.tree, leaves.i AS doc, 0 AS level, leaves.i, start AS h, '' AS proof FROM leaves
+    UNION ALL SELECT CASE WHEN n > 1 THEN stage WHEN stage = 0 THEN 1 ELSE 2 END, own, CASE WHEN n > 1 THEN walk.tree ELSE '' END, doc, CASE WHEN n > 1 THEN walk.level + 1 ELSE 0 END,
+        CASE WHEN n > 1 THEN walk.i // {ARITY} ELSE subroots.i END, CASE WHEN n > 1 THEN sha256(before || walk.h || after) ELSE walk.h END, CASE WHEN n > 1 THEN proof || before || after ELSE proof END
+    FROM walk JOIN sides ON sides.tree = walk.tree AND sides.level = walk.level AND sides.i = walk.i LEFT JOIN subroots ON subroots.tree = walk.own WHERE stage < 2)
+SELECT doc_id, leaf, subroots.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, walk.h AS folded_root, walk.h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM walk JOIN leaves ON leaves.tree = walk.own AND leaves.i = walk.doc JOIN subroots ON subroots.tree = walk.own WHERE stage = 2"""
+_GROUP = "('0x' || substr(k, {}, 8))::BIGINT"
+_FILL_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '-')) AS k FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, {_GROUP.format(1)} AS h1, {_GROUP.format(9)} AS h2, {_GROUP.format(17)} AS h3, {_GROUP.format(25)} AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR {" OR ".join(f"contains(t, '{m}')" for m in MARKERS)} OR h3 % 100 >= {PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, t[:a] AS p, t[a + 1:b] AS m, t[b + 1:] AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{MARKERS[0]}' || p || '{MARKERS[1]}' || s || '{MARKERS[2]}' || m ELSE '{MARKERS[1]}' || s || '{MARKERS[0]}' || p || '{MARKERS[2]}' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts"""
+
 #: The other operators draw, learn, search iteratively or go byte by byte; tests/llm holds those against brute force.
-ORACLES: dict[str, str] = {"op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES}
+ORACLES: dict[str, str] = {"op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES, "op11_merkle_manifest": _MERKLE, "op12_fill_middle": _FILL_MIDDLE}
