@@ -75,9 +75,10 @@ def op12_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
 
 def op13_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode_pieces(encode_pieces(read(spark, sf, "documents"), path), path)
+    encoded = encode_pieces(read(spark, sf, "documents"), path).withColumn("n_bytes", F.element_at("edges", -1).cast("long"))
+    found = decode_pieces(encoded.drop("edges"), path)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                        F.sha2("text", 256).alias("decoded_sha256"), F.element_at("edges", -1).cast("long").alias("n_bytes"))
+                        F.sha2("text", 256).alias("decoded_sha256"), "n_bytes")
 
 
 QUERIES = {

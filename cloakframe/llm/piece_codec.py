@@ -38,7 +38,7 @@ from .text import slices
 SPACE_SYMBOL = "▁"
 _SPACE = ord(SPACE_SYMBOL)
 LONG = 48  # symbols of a segment that still merges in step with others
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _FAR = np.int32(1 << 30)
 
 
