@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 from inspect import signature
 
@@ -90,7 +91,10 @@ def test_file_manifest(spark, tmp_path):
     found = {r["name"]: list(r["e"]) for r in names.select("name", files.name_errors(F.col("name"), F.col("size")).alias("e")).collect()}
     assert found == {"a.pdf": ["empty"], "x?.csv": ["bad_characters"], "": ["no_name", "bad_extension"]}
     large = {r["name"]: r for r in files.file_manifest(spark, str(tmp_path), max_size=5).collect()}
-    assert large["ok.csv"]["errors"] == "too_large" and large["ok.csv"]["sha256"] is None
+    content = (tmp_path / "bad.csv").read_bytes()
+    # a file over the limit is not valid, and still hashed and searched whole
+    assert large["ok.csv"]["errors"] == "too_large" and large["ok.csv"]["sha256"] == hashlib.sha256(b"a,b\n1,2\n").hexdigest()
+    assert "too_large" in large["bad.csv"]["errors"] and large["bad.csv"]["patterns"] == "<script" and large["bad.csv"]["sha256"] == hashlib.sha256(content).hexdigest()
 
 
 def test_load_gate_on_empty_table(spark):
