@@ -64,6 +64,29 @@ def sql_bin(value: str, low: str, high: str, bins: int) -> str:
     return f"(CASE WHEN ({value}) IS NULL THEN NULL WHEN ({low}) = ({high}) THEN {(bins - 1) // 2} ELSE {parts} END)"
 
 
+def sql_alias(name: str, counts: str, weight: str = "n") -> str:
+    """CTEs of an alias table ``{name}(idx, v, keep, other, k)`` over a (v, n) relation; ``weight`` is a whole number."""
+    order = "OVER (ORDER BY v NULLS LAST)"
+    return (
+        f"{name}_w AS (SELECT v, ({weight})::HUGEINT AS w FROM ({counts})), "
+        f"{name}_s AS MATERIALIZED (SELECT v, row_number() {order} - 1 AS idx, w * (SELECT count(*) FROM {name}_w WHERE w > 0) AS s, (SELECT sum(w) FROM {name}_w) AS t FROM {name}_w WHERE w > 0), "
+        f"{name}_l AS MATERIALIZED (SELECT *, sum(t - s) {order} AS d FROM {name}_s WHERE s < t), "
+        f"{name}_h AS MATERIALIZED (SELECT *, sum(s - t) {order} AS e, lead(v) {order} AS nxt, row_number() {order} AS j, count(*) OVER () AS m FROM {name}_s WHERE s > t), "
+        f"{name} AS MATERIALIZED (SELECT l.idx, l.v, CASE WHEN h.j IS NULL THEN 1.0 ELSE l.s::DOUBLE / l.t::DOUBLE END AS keep, h.v AS other FROM {name}_l l ASOF LEFT JOIN {name}_h h ON l.d - (l.t - l.s) < h.e "
+        f"UNION ALL SELECT h.idx, h.v, CASE WHEN h.j = h.m OR l.d IS NULL THEN 1.0 ELSE (h.t + h.e - l.d)::DOUBLE / h.t::DOUBLE END, h.nxt FROM {name}_h h ASOF LEFT JOIN {name}_l l ON h.e <= l.d "
+        f"UNION ALL SELECT idx, v, 1.0, v FROM {name}_s WHERE s = t)"
+    )
+
+
+def sql_drawn(name: str, rows: str, u: str, columns: str, drawn: str) -> str:
+    """``columns`` of ``rows`` and the value of the alias table ``name`` at ``u``, as ``drawn``."""
+    k = f"(SELECT count(*) FROM {name})"
+    return (
+        f"SELECT {columns}, CASE WHEN _at - _own < keep THEN v ELSE other END AS {drawn} FROM (SELECT *, {u} * {k}::DOUBLE AS _at, "
+        f"least(floor({u} * {k}::DOUBLE)::BIGINT, {k} - 1) AS _own FROM {rows}) JOIN {name} ON _own = idx"
+    )
+
+
 LEVELS_SQL = "['Very Low', 'Low', 'Medium', 'High', 'Very High']"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import budget as budget_ops
 from ..operators import noise as ops
 from ..operators.dp_train import dp_logistic_fit as fit_logistic
-from .base import SALT, one_value, r, rounded, sql_bin, sql_flip, sql_laplace, sql_normal, sql_uniform, table
+from .base import SALT, one_value, r, rounded, sql_alias, sql_bin, sql_drawn, sql_flip, sql_laplace, sql_normal, sql_uniform, table
 
 
 def _orders(spark, sf):
@@ -102,17 +102,7 @@ def dp_logistic_fit(spark, sf):
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg("probability").alias("mean_probability"))
 
 
-def _cumulative(counts: str, weight: str) -> str:
-    """Running weights of a (v, n) relation in value order, and their total."""
-    return (
-        f"w AS (SELECT v, {weight} AS w FROM ({counts})), "
-        "c AS (SELECT v, sum(w) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER () AS total, row_number() OVER (ORDER BY v DESC) AS last FROM w)"
-    )
-
-
-def _draw(u: str) -> str:
-    """First value whose running weight reaches the target; the last value closes the range."""
-    return f"(SELECT min(v) FROM c WHERE hi >= {u} * total OR last = 1)"
+_EXP = "floor(exp({0}::DOUBLE * (n - (SELECT max(n) FROM n))) * 1152921504606846976.0::DOUBLE)"
 
 
 _SIGMA = "(sqrt(2 * ln(1.25::DOUBLE / 1e-5::DOUBLE)) * (SELECT max(o_totalprice) - min(o_totalprice) FROM orders) / 0.5::DOUBLE)"
@@ -137,15 +127,12 @@ ORACLES = {
     + f" AS c_acctbal, {sql_flip('customer', 'c_mktsegment', 'c_custkey', 1.0, SALT)} AS c_mktsegment FROM customer",
     "randomized_response": f"SELECT o_orderkey, {sql_flip('orders', 'o_orderpriority', 'o_orderkey', 1.0, SALT)} AS o_orderpriority FROM orders",
     "randomized_response_large": f"SELECT c_custkey, {sql_flip('customer', 'c_name', 'c_custkey', 5.0, SALT)} AS c_name FROM customer",
-    "exponential_mechanism": f"WITH n AS ({_PRIORITY}), {_cumulative('SELECT * FROM n', 'exp(0.05::DOUBLE * (n - (SELECT max(n) FROM n)) / 2.0::DOUBLE)')} "
-    f"SELECT o_orderkey, {_draw(sql_uniform(SALT, 'exp:o_orderpriority', 'o_orderkey'))} AS o_orderpriority FROM orders",
-    "exponential_large": "WITH n AS (SELECT o_custkey::VARCHAR AS v, count(*) AS n FROM orders GROUP BY 1), "
-    + _cumulative("SELECT * FROM n", "exp(0.25::DOUBLE * (n - (SELECT max(n) FROM n)))")
-    + f", s AS (SELECT v, hi / total AS hi, last, coalesce(lag(hi / total) OVER (ORDER BY hi), -1.0) AS lo FROM c), o AS (SELECT o_orderkey, {sql_uniform(SALT, 'exp:customer', 'o_orderkey')} AS u FROM orders) "
-    "SELECT o_orderkey, v AS customer FROM o JOIN s ON u > lo AND (u <= hi OR last = 1)",
-    "exponential_numeric": f"WITH b AS (SELECT c_custkey, {_BIN} AS v FROM customer), n AS (SELECT v, count(*) AS n FROM b GROUP BY 1), "
-    + _cumulative("SELECT * FROM n", "exp(0.01::DOUBLE * (n - (SELECT max(n) FROM n)) / 2.0::DOUBLE)")
-    + f" SELECT c_custkey, {_draw(sql_uniform(SALT, 'exp:c_acctbal', 'c_custkey'))}::INT AS c_acctbal FROM b",
+    "exponential_mechanism": f"WITH n AS ({_PRIORITY}), {sql_alias('c', 'SELECT * FROM n', _EXP.format('0.025'))} "
+    + sql_drawn("c", "orders", sql_uniform(SALT, "exp:o_orderpriority", "o_orderkey"), "o_orderkey", "o_orderpriority"),
+    "exponential_large": f"WITH n AS (SELECT o_custkey::VARCHAR AS v, count(*) AS n FROM orders GROUP BY 1), {sql_alias('c', 'SELECT * FROM n', _EXP.format('0.25'))} "
+    + sql_drawn("c", "orders", sql_uniform(SALT, "exp:customer", "o_orderkey"), "o_orderkey", "customer"),
+    "exponential_numeric": f"WITH b AS (SELECT c_custkey, {_BIN} AS bin FROM customer), n AS (SELECT bin AS v, count(*) AS n FROM b GROUP BY 1), {sql_alias('c', 'SELECT * FROM n', _EXP.format('0.005'))} "
+    f"SELECT c_custkey, c_acctbal::INT AS c_acctbal FROM ({sql_drawn('c', 'b', sql_uniform(SALT, 'exp:c_acctbal', 'c_custkey'), 'c_custkey', 'c_acctbal')})",
     "apply_dp": f"SELECT p_partkey, {r(_clip('p_size', 5.0, 45.0) + ' + ' + sql_laplace(SALT, 'lap:p_size', 'p_partkey', '40.0 / 2.0'), 4)} AS p_size, "
     f"{r(_clip('p_retailprice', 900.0, 1500.0) + ' + ' + sql_laplace(SALT, 'lap:p_retailprice', 'p_partkey', '600.0 / 2.0'), 4)} AS p_retailprice, "
     f"{sql_flip('part', 'p_type', 'p_partkey', 2.0, SALT)} AS p_type FROM part",

@@ -9,7 +9,7 @@ from ..operators import synthesis as ops
 from ..operators.disclosure import generalize_categorical, suppress_rare_combinations
 from ..operators.noise import laplace_mechanism
 from ..session import materialize
-from .base import SALT, r, rounded, sql_flip, sql_laplace, sql_normal, sql_uniform, table
+from .base import SALT, r, rounded, sql_alias, sql_drawn, sql_flip, sql_laplace, sql_normal, sql_uniform, table
 
 PART = ["p_partkey", "p_size", "p_retailprice", "p_type", "p_brand"]
 
@@ -98,14 +98,12 @@ def _normal_draw(column: str, source: str) -> str:
 
 
 def _category_cte(name: str, column: str, source: str) -> str:
-    return (
-        f"{name} AS (SELECT v, sum(n) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER () AS total "
-        f"FROM (SELECT {column} AS v, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1))"
-    )
+    return sql_alias(name, f"SELECT {column} AS v, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY 1")
 
 
 def _category_draw(name: str, column: str) -> str:
-    return f"(SELECT min(v) FROM {name} WHERE hi >= {sql_uniform(SALT, 'syn:' + column, 'i')} * total)"
+    at = f"{sql_uniform(SALT, 'syn:' + column, 'i')} * (SELECT count(*) FROM {name})::DOUBLE"
+    return f"(SELECT CASE WHEN {at} - idx < keep THEN v ELSE other END FROM {name} WHERE idx = least(floor({at})::BIGINT, (SELECT count(*) FROM {name}) - 1))"
 
 
 def sql_ks(column: str) -> str:
@@ -201,8 +199,8 @@ ORACLES = {
     + f"SELECT 'c_mktsegment', c_mktsegment, NULL, NULL, NULL, NULL, {r('count(*) / (SELECT count(*) FROM customer)::DOUBLE')} FROM customer GROUP BY c_mktsegment",
     "sample_marginals": f"WITH {_category_cte('seg', 'c_mktsegment', 'customer')} SELECT i AS row_id, {r(_normal_draw('c_acctbal', 'customer'))} AS c_acctbal, "
     f"{r(_normal_draw('c_nationkey', 'customer'))} AS c_nationkey, {_category_draw('seg', 'c_mktsegment')} AS c_mktsegment FROM range((SELECT count(*) FROM customer)) t(i)",
-    "sample_large_domain": f"WITH {_category_cte('c', 'o_custkey::VARCHAR', 'orders')}, s AS (SELECT v, hi / total::DOUBLE AS hi, coalesce(lag(hi / total::DOUBLE) OVER (ORDER BY hi), -1.0) AS lo FROM c), "
-    f"n AS (SELECT i, {sql_uniform(SALT, 'syn:customer', 'i')} AS u FROM range((SELECT count(*) FROM orders)) t(i)) SELECT i AS row_id, v AS customer FROM n JOIN s ON u > lo AND u <= hi",
+    "sample_large_domain": f"WITH {_category_cte('c', 'o_custkey::VARCHAR', 'orders')}, n AS (SELECT i FROM range((SELECT count(*) FROM orders)) t(i)) "
+    + sql_drawn("c", "n", sql_uniform(SALT, "syn:customer", "i"), "i AS row_id", "customer"),
     "synthesize": f"WITH {_FILLED}, {_category_cte('pri', 'o_orderpriority', 'f')} SELECT {r(_normal_draw('o_totalprice', 'f'), 2)} AS o_totalprice, "
     f"{r(_normal_draw('o_orderdate', 'f'), 2)} AS o_orderdate, {_category_draw('pri', 'o_orderpriority')} AS o_orderpriority FROM range((SELECT count(*) FROM orders)) t(i)",
     "correlation_of_correlations": f"WITH {PAIR} SELECT {r(sql_corr_of_corr(NUMBERS))} AS correlation_of_correlations",

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as roles
+from ..session import materialize
 from .joins import lookup
-from .ranking import global_rank, prefix_sums
+from .ranking import global_rank, prefix_sums, running_mins_before
 
 # A domain up to this size is a literal array, scanned per cell.
 MAX_ARRAY = 256
 # A domain table up to this size is broadcast; larger ones join by shuffle.
 MAX_BROADCAST = 10_000
+# Weights of alias tables: whole numbers whose sums are exact.
+_WHOLE = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -95,27 +98,93 @@ def flip_large(df: DataFrame, column: str, domain: Domain, target: Column, keep:
     return joined.withColumn(column, F.when(F.col("_want") < 0, F.col(column)).otherwise(F.col("_new"))).select(*df.columns)
 
 
-def draw_small(values: list, weights: list[float], u: Column) -> Column:
-    """Inverse CDF over a bounded domain: first value whose running weight reaches ``u * total``."""
-    running, total = [], 0.0
-    for w in weights:
-        total += w
-        running.append(total)
-    target = u * F.lit(total)
-    if len(values) == 1:
-        return pick(values, F.lit(0))
-    return pick(values, F.size(F.filter(_literal_array(running[:-1]), lambda e: e < target)))
+def alias_columns(weights: list[int]) -> tuple[list[float], list[int]]:
+    """Walker's alias table of a bounded domain: for each value how much of its column it keeps, and who gets the rest.
+
+    Every value owns one of ``k`` columns of equal size. A light value leaves part of its column over; heavy values,
+    in order, fill those parts, and what is then left of a heavy one's own column goes to the next heavy one. All sums
+    are of integers, so the table is the same however it is added up.
+    """
+    k, total = len(weights), sum(weights)
+    scaled = [w * k for w in weights]
+    keep, other = [1.0] * k, list(range(k))
+    light = [i for i, s in enumerate(scaled) if s < total]
+    heavy = [i for i, s in enumerate(scaled) if s > total]
+    at, excess, deficit = 0, scaled[heavy[0]] - total if heavy else 0, 0
+    for i in light:
+        keep[i], other[i] = scaled[i] / total, heavy[at]
+        deficit += total - scaled[i]
+        while deficit >= excess and at + 1 < len(heavy):
+            if deficit > excess:
+                keep[heavy[at]], other[heavy[at]] = (total + excess - deficit) / total, heavy[at + 1]
+            at += 1
+            excess += scaled[heavy[at]] - total
+    return keep, other
+
+
+def draw_small(values: list, weights: list[int], u: Column) -> Column:
+    """One of a bounded domain's values, by weight: ``u`` picks a column of the alias table and a place in it."""
+    chosen = [(v, w) for v, w in zip(values, weights, strict=True) if w > 0]
+    keep, other = alias_columns([w for _, w in chosen])
+    at = u * F.lit(float(len(chosen)))
+    own = F.least(F.floor(at), F.lit(len(chosen) - 1)).cast("int")
+    index = F.when(at - own < F.get(_literal_array(keep), own), own).otherwise(F.get(_literal_array(other), own))
+    return pick([v for v, _ in chosen], index)
+
+
+def alias_table(weighted: DataFrame) -> tuple[DataFrame, int]:
+    """``(idx, value, keep, other, shares)`` of ``weighted(value, w)``, whole-number weights, and how many there are.
+
+    The table of ``alias_columns`` for a domain of any size. Running sums in order of value say where on a common
+    line each light value's deficit begins and ends and where each heavy one's excess is used up; who fills whom is
+    then the nearest heavy end beyond a light begin, found by one pass over the line in descending order.
+    """
+    rows = weighted.filter(F.col("w") > 0).select("value", F.col("w").cast(_WHOLE).alias("w"))
+    facts = rows.agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("t")).first()
+    whole = lambda x: F.lit(str(x)).cast(_WHOLE)
+    k, total, none = facts["k"], whole(facts["t"] or 0), whole(0)
+    scaled = rows.select("value", (F.col("w") * whole(k)).cast(_WHOLE).alias("s"), F.struct(F.col("value").isNull().alias("last"), F.col("value").alias("v")).alias("_by"))
+    sides = scaled.select(
+        "value", "s", "_by", F.lit(1).cast("bigint").alias("_one"),
+        F.greatest(none, total - F.col("s")).cast(_WHOLE).alias("_less"), F.greatest(none, F.col("s") - total).cast(_WHOLE).alias("_more"),
+    )
+    sums = prefix_sums(sides, "_by", {"_d": "_less", "_e": "_more", "_n": "_one"})
+    sums = materialize(sums.select("value", "s", F.col("_d").cast(_WHOLE).alias("_d"), F.col("_e").cast(_WHOLE).alias("_e"), (F.col("_n") - 1).alias("idx"), "_less", "_more"), "alias")
+    light, heavy = sums.filter("_less > 0"), sums.filter("_more > 0")
+    place = lambda at, kind: F.struct((-at).cast(_WHOLE).alias("at"), F.lit(kind).alias("kind")).alias("_line")
+    giver = F.struct(F.col("_e").alias("e"), F.col("value").alias("value"))
+    nobody = F.lit(None).cast(f"struct<e:{_WHOLE},value:{sums.schema['value'].dataType.simpleString()}>").alias("_giver")
+    # at one place: light begins, which look for a heavy end beyond it, then light ends, which heavy ends look for
+    line = (
+        light.select(place(F.col("_d") - F.col("_less"), 0), "idx", "value", "s", "_e", nobody, F.lit(None).cast(_WHOLE).alias("_end"))
+        .unionByName(heavy.select(place(F.col("_e"), 2), "idx", "value", "s", "_e", giver.alias("_giver"), F.lit(None).cast(_WHOLE).alias("_end")))
+        .unionByName(light.select(place(F.col("_d"), 1), "idx", "value", "s", "_e", nobody, F.col("_d").alias("_end")))
+    )
+    met = running_mins_before(line, "_line", {"_next": "_giver", "_stop": "_end"})
+    part = F.when(F.col("_line.kind") == 0, F.col("s")).otherwise(total + F.col("_e") - F.col("_stop"))
+    shares = F.col("_next").isNotNull() & ((F.col("_line.kind") == 0) | F.col("_stop").isNotNull())
+    mixed = met.filter(F.col("_line.kind") != 1).select(
+        "idx", "value", F.when(shares, part.cast("double") / total.cast("double")).otherwise(F.lit(1.0)).alias("keep"), F.col("_next.value").alias("other"), shares.alias("shares")
+    )
+    even = sums.filter("_less = 0 AND _more = 0")
+    pure = even.select("idx", "value", F.lit(1.0).alias("keep"), F.lit(None).cast(sums.schema["value"].dataType).alias("other"), F.lit(False).alias("shares"))
+    return mixed.unionByName(pure), k
 
 
-def running_weights(weighted: DataFrame) -> DataFrame:
-    """``(value, w)`` with the running weight ``hi``; a weight that underflowed to 0 can never be drawn."""
-    return prefix_sums(weighted.filter(F.col("w") > 0), "value", {"hi": "w"})
+def draw_alias(df: DataFrame, column: str, table: DataFrame, k: int, u: Column) -> DataFrame:
+    """``draw_small`` for an alias table of any size: rows join on a uniform column number, so no key is hot whatever the weights."""
+    rows = df.withColumn("_at", u * F.lit(float(k))).withColumn("_own", F.least(F.floor("_at"), F.lit(k - 1)).cast("bigint"))
+    cells = table.select(F.col("idx").alias("_idx"), F.col("value").alias("_value"), "keep", F.col("other").alias("_other"), "shares")
+    cells = cells.withColumnsRenamed({"keep": "_keep", "shares": "_shares"})
+    drawn = F.when((F.col("_at") - F.col("_own") < F.col("_keep")) | ~F.col("_shares"), F.col("_value")).otherwise(F.col("_other"))
+    joined = rows.join(cells, rows["_own"] == cells["_idx"], "left").withColumn("_drawn", drawn)
+    return joined.drop("_at", "_own", "_idx", "_value", "_keep", "_other", "_shares").withColumn(column, F.col("_drawn")).drop("_drawn")
 
 
 def draw_large(df: DataFrame, column: str, running: DataFrame, u: Column, buckets: int) -> DataFrame:
-    """Inverse CDF over a domain of any size.
+    """Inverse CDF over a domain of any size, for uniforms that have to keep their order.
 
-    ``running`` is ``(value, w, hi)``. The unit interval is cut into ``buckets``;
+    ``running`` is ``(value, w, hi)``, each ``w`` at least the 64th part of a bucket. The unit interval is cut into ``buckets``;
     each value's interval is listed once per bucket it touches (at most
     ``buckets + domain`` entries) and rows join on the bucket of their uniform.
     Uniforms fill the buckets evenly, so the join has no hot key even when one

@@ -147,11 +147,13 @@ def laplace_mechanism(
     return _noisy(df, chosen, epsilon, key, salt, bounds, split, noise_for, domains_for)
 
 
-def _exponential_weights(counts: list[int], epsilon: float, sensitivity: float) -> list[float]:
-    """exp(eps * count / (2 * sensitivity)), shifted by the largest exponent so that it cannot overflow."""
-    scores = [epsilon * n / (2 * sensitivity) for n in counts]
-    top = max(scores)
-    return [math.exp(s - top) for s in scores]
+_UNIT = float(1 << 60)  # whole-number weight of the most frequent value
+
+
+def _exponential_weights(counts: list[int], epsilon: float, sensitivity: float) -> list[int]:
+    """exp(eps * count / (2 * sensitivity)) in parts of the largest one, so that it cannot overflow."""
+    top = max(counts)
+    return [math.floor(math.exp(epsilon / (2 * sensitivity) * (n - top)) * _UNIT) for n in counts]
 
 
 def exponential_mechanism(
@@ -174,16 +176,12 @@ def exponential_mechanism(
         weights = _exponential_weights(counts, epsilon, sensitivity)
         return df.withColumn(column, domains.draw_small(fitted.values + ([None] if fitted.nulls else []), weights, u))
     top = fitted.table.agg(F.max("n").alias("m")).first()["m"]
-    weight = F.exp(F.lit(epsilon / (2 * sensitivity)) * (F.col("n") - F.lit(top)))
-    weighted = fitted.table.select("value", weight.alias("w"))
-    running = domains.running_weights(weighted)
+    counted = fitted.table.select("value", "n")
     if fitted.nulls:
-        # last in the order, as in the array
-        w = math.exp(-epsilon / (2 * sensitivity) * top)
-        if w > 0:
-            null = F.lit(None).cast(fitted.table.schema["value"].dataType)
-            running = running.unionByName(running.agg(F.max("hi").alias("_t")).select(null.alias("value"), F.lit(w).alias("w"), (F.col("_t") + w).alias("hi")))
-    return domains.draw_large(df, column, running, u, max(1, fitted.size // 64)).select(*df.columns)
+        counted = counted.unionByName(df.sparkSession.range(1).select(F.lit(None).cast(counted.schema["value"].dataType).alias("value"), F.lit(0).cast("bigint").alias("n")))
+    weight = F.floor(F.exp(F.lit(epsilon / (2 * sensitivity)) * (F.col("n") - F.lit(top))) * F.lit(_UNIT))
+    table, k = domains.alias_table(counted.select("value", weight.alias("w")))
+    return domains.draw_alias(df, column, table, k, u).select(*df.columns)
 
 
 def exponential_numeric(

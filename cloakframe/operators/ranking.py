@@ -80,16 +80,26 @@ def prefix_sums(
     return joined.drop("_part", "_pos", *[f"_o_{n}" for n in sums])
 
 
-def running_min_before(
-    df: DataFrame, order: str, source: str, name: str, group: Sequence[str] = (), partitions: int | None = None
+def running_mins_before(
+    df: DataFrame, order: str, mins: dict[str, str], group: Sequence[str] = (), partitions: int | None = None
 ) -> DataFrame:
-    """Smallest ``source`` among the earlier rows of the group; null on the first row."""
+    """Smallest value so far of each of ``mins`` (new name -> column) among the earlier rows of the group; null on the first row."""
     group = list(group)
     rows = _ordered(df, [*group, order], partitions)
     local = Window.partitionBy("_part", *group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(name, F.min(source).over(local))
-    totals = rows.groupBy("_part", *group).agg(F.min(source).alias("_t"))
+    for new, source in mins.items():
+        rows = rows.withColumn(new, F.min(source).over(local))
+    totals = rows.groupBy("_part", *group).agg(*[F.min(source).alias(f"_t_{new}") for new, source in mins.items()])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *group, F.min("_t").over(before).alias("_o"))
-    joined = rows.join(F.broadcast(offsets), ["_part", *group])
-    return joined.withColumn(name, F.least(name, "_o")).drop("_part", "_pos", "_o")
+    offsets = totals.select("_part", *group, *[F.min(f"_t_{new}").over(before).alias(f"_o_{new}") for new in mins])
+    joined = rows.join(F.broadcast(offsets) if not group else offsets, ["_part", *group])
+    for new in mins:
+        joined = joined.withColumn(new, F.least(new, f"_o_{new}"))
+    return joined.drop("_part", "_pos", *[f"_o_{new}" for new in mins])
+
+
+def running_min_before(
+    df: DataFrame, order: str, source: str, name: str, group: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """Smallest ``source`` among the earlier rows of the group; null on the first row."""
+    return running_mins_before(df, order, {name: source}, group, partitions)

@@ -93,10 +93,10 @@ def sample_marginals(fit: Marginals, salt: str, spark, n: int | None = None, row
         if d.size == 0:
             out = out.withColumn(c, F.lit(None).cast(fit.schema[c].dataType))
         elif d.values is not None:
-            out = out.withColumn(c, domains.draw_small(d.values, [float(k) for k in d.counts], u))
+            out = out.withColumn(c, domains.draw_small(d.values, d.counts, u))
         else:
-            weighted = d.table.select("value", F.col("n").cast("double").alias("w"))
-            out = domains.draw_large(out, c, domains.running_weights(weighted), u, max(1, d.size // 64))
+            table, k = domains.alias_table(d.table.select("value", F.col("n").alias("w")))
+            out = domains.draw_alias(out, c, table, k, u)
     return out.select(*([ROW] if row_id else []), *fit.columns)
 
 
