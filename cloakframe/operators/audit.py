@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import moment
 from .budget import MAX_EPSILON
-from .quantiles import at_ranks, running_counts
+from .quantiles import values_at
 
 # Action-name parts of security and of processing events.
 SECURITY_ACTIONS = ["login", "auth", "upload", "download", "access", "error"]
@@ -127,9 +127,7 @@ def security_events(logs: DataFrame) -> DataFrame:
 def processing_stats(logs: DataFrame, actions: list[str] | None = None) -> DataFrame:
     """Counts and times of processing events; the median is element n // 2 of the sorted times."""
     rows = logs.filter(_action_has(actions or PROCESSING_ACTIONS)).withColumn("execution_time", F.col("execution_time").cast("double"))
-    running = running_counts(rows, ["execution_time"])
-    total = running.agg(F.max("cum").alias("n")).first()["n"] or 0
-    median = at_ranks(running, [("execution_time", "m", total // 2)])["execution_time", "m"] if total else 0.0
+    median = values_at(rows, ["execution_time"], lambda _, n: {"m": n // 2}).get(("execution_time", "m"), 0.0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.agg(
         F.count(F.lit(1)).alias("total_processing_events"),
