@@ -17,19 +17,22 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
+from .text import slices
 
 CAPACITY = 4096
 PIECE = 1024
 GROUP_TOKENS = 2_000_000
 CACHED_WORDS = 500_000
+SLICE_BYTES = 2_000_000
 END = np.array([2], "<u4").tobytes()
 _TOGETHER = 200  # words of letters that are encoded as one text
 _MARKS = ".,;:!?"
@@ -55,7 +58,7 @@ class WordIds:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def of(self, words: set[str]) -> dict[str, bytes]:
+    def of(self, words: Collection[str]) -> dict[str, bytes]:
         """A table that holds all ``words`` until the next call."""
         if len(self.young) > CACHED_WORDS:
             self.young, self.old = {"": b""}, self.young
@@ -99,12 +102,37 @@ class WordIds:
 _known: dict[str, WordIds] = {}
 
 
-def word_ids(path: str, words: set[str]) -> dict[str, bytes]:
+def word_ids(path: str, words: list[str]) -> dict[str, bytes]:
     if path not in _known:
         _known[path] = WordIds(path)
     return _known[path].of(words)
 
 
+def text_ids(path: str, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The ids of all texts one after the other as bytes, closing ids included, and where each text begins and the last ends.
+
+    Words are made distinct in Arrow, so each is looked up once per slice, and its ids are gathered for all its places.
+    """
+    spaced = pc.fill_null(texts.cast(pa.string()), "")
+    for white in ("\n", "\t", "\r"):
+        spaced = pc.replace_substring(spaced, white, " ")
+    split = pc.split_pattern(spaced, " ")  # at least one part for each text
+    words = split.flatten().dictionary_encode()
+    last = len(words.dictionary)  # the closing id is one more word, behind each text
+    one = pa.ListArray.from_arrays(pa.array([0, last], pa.int32()), words.dictionary)
+    distinct = pc.binary_join(one, " ")[0].as_py().split(" ") if last else []  # no word holds a space
+    known = word_ids(path, distinct)
+    rows = [*map(known.__getitem__, distinct), END]
+    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
+    table = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(size.tobytes()), pa.py_buffer(b"".join(rows))])
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    edge = np.cumsum(counts)
+    index = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), edge, last)
+    gathered = table.take(pa.array(index))
+    offsets = np.frombuffer(gathered.buffers()[1], np.int64, len(index) + 1, gathered.offset * 8)
+    return gathered.buffers()[2].to_pybytes(), offsets[np.concatenate([[0], edge + np.arange(1, len(counts) + 1)])]
+
+
 def pieces_of(ids: bytes, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int]]:
     """``start, length, crc32`` of the pieces of a document's ids."""
     n = len(ids) // 4
@@ -117,16 +145,12 @@ def _tokenize(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in part.column("text").to_pylist()]
-                known = word_ids(path, set().union(*split))
-                out = []
-                for doc, words in zip(part.column("doc_id").to_pylist(), split, strict=True):
-                    ids = b"".join([known[w] for w in words]) + END
-                    out += [(doc, *p, len(ids) // 4) for p in pieces_of(ids)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        for part in slices(batches, budget=SLICE_BYTES):
+            data, edge = text_ids(path, part.column("text"))
+            out = []
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                out += [(doc, *p, (b - a) // 4) for p in pieces_of(data[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
         if path in _known:  # the worker lives on: between tasks it keeps one generation only
             _known[path].old = {}
 
