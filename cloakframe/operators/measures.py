@@ -12,40 +12,28 @@ from ..functions import schema as roles
 from ..functions.scoring import clamp01, mean_of
 from .budget import MAX_EPSILON
 from .disclosure import generalize_numeric
+from .gram import wide_correlations
 from .ranking import prefix_sums
-from .stats import COLUMNS_PER_JOB, no_null, null_count, stacked
+from .stats import distinct_table, no_null, null_count, stacked
 
 # Column-name parts that mark a likely quasi-identifier.
 QI_NAMES = ["age", "zip", "postal", "income", "education", "occupation"]
 
 NON_ZERO = 1e-8
-
-
-def _rows_and_distinct(df: DataFrame, approx: bool = False) -> list[Column]:
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    return [F.count(F.lit(1)).alias("_rows"), *[fn(F.col(c)).alias(f"_d{i}") for i, c in enumerate(df.columns)]]
+PAIRS_AT_ONCE = 15
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, rows, nulls, distinct non-null values, likely quasi-identifier."""
-    facts = df.agg(
-        *_rows_and_distinct(df, approx), *[null_count(c).alias(f"_m{i}") for i, c in enumerate(df.columns)]
+    facts = distinct_table(df, {c: F.col(c) for c in df.columns}, approx)
+    kinds = {f.name: roles.role_name(f.dataType) for f in df.schema}
+    typed = facts.select(
+        F.col("name").alias("column"), F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("name")).alias("type"),
+        "rows", "missing", "distinct",
     )
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(roles.role_name(f.dataType)).alias("type"),
-            F.col("_rows").alias("rows"),
-            F.coalesce(F.col(f"_m{i}"), F.lit(0)).alias("missing"),
-            F.col(f"_d{i}").alias("distinct"),
-        )
-        for i, f in enumerate(df.schema)
-    ]
     share = F.try_divide(F.col("distinct").cast("double"), F.col("rows"))
     named = F.lower("column").rlike("|".join(QI_NAMES))
-    return facts.select(F.inline(F.array(*rows))).withColumn(
-        "quasi_identifier", F.coalesce((share > 0.1) & (share < 0.9), F.lit(False)) | named
-    )
+    return typed.withColumn("quasi_identifier", F.coalesce((share > 0.1) & (share < 0.9), F.lit(False)) | named)
 
 
 def detect_quasi_identifiers(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -90,8 +78,8 @@ def _side(side: str, c: Column) -> Column:
 
 
 def _distinct_share(df: DataFrame, approx: bool) -> DataFrame:
-    facts = df.agg(*_rows_and_distinct(df, approx))
-    mean = mean_of([F.col(f"_d{i}").cast("double") for i in range(len(df.columns))])
+    facts = distinct_table(df, {c: F.col(c) for c in df.columns}, approx).agg(F.sum("distinct").alias("_d"), F.max("rows").alias("_rows"))
+    mean = F.col("_d").cast("double") / F.lit(float(len(df.columns)))
     return facts.select(
         F.try_divide(mean, F.col("_rows")).alias("share"), F.col("_rows").alias("rows"), F.lit(len(df.columns)).alias("columns")
     )
@@ -206,19 +194,24 @@ def statistical_similarity(original: DataFrame, derived: DataFrame) -> DataFrame
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col_a, col_b, corr)`` for all pairs a < b, pairwise complete; one aggregate per ``COLUMNS_PER_JOB`` pairs."""
+    """``(col_a, col_b, corr)`` for all pairs a < b, pairwise complete, in one scan.
+
+    Up to ``PAIRS_AT_ONCE`` pairs are one generated aggregate; more are blocked products.
+    """
     pairs = list(combinations(columns, 2))
-    value, out = {c: F.col(c).cast("double") for c in columns}, None
-    for start in range(0, len(pairs), COLUMNS_PER_JOB):
-        some = pairs[start : start + COLUMNS_PER_JOB]
-        wide = df.agg(*[F.corr(value[a], value[b]).alias(f"_r{i}") for i, (a, b) in enumerate(some)])
-        rows = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.nanvl(F.col(f"_r{i}"), F.lit(None)).alias("corr"))
-            for i, (a, b) in enumerate(some)
-        ]
-        part = wide.select(F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(pairs) > PAIRS_AT_ONCE:
+        return wide_correlations(df, columns)
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+
+    def corr(a: str, b: str) -> Column:
+        # corr() divides by the deviations, an error where a column is constant, and sums of a constant may deviate by rounding
+        one, two = F.when(value[b].isNotNull(), value[a]), F.when(value[a].isNotNull(), value[b])
+        varies = (F.min(one) < F.max(one)) & (F.min(two) < F.max(two))
+        return F.when(varies, F.try_divide(F.covar_pop(value[a], value[b]), F.stddev_pop(one) * F.stddev_pop(two)))
+
+    wide = df.agg(*[corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def _varies(df: DataFrame, columns: Sequence[str]) -> DataFrame:

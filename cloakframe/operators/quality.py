@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..functions import schema as roles
 from .quantiles import quantiles
-from .stats import COLUMNS_PER_JOB, null_count, numeric_summary, single_row
+from .stats import COLUMNS_PER_JOB, distinct_table, null_count, numeric_summary, single_row
 
 FINDING = "check string, column string, severity string, value double"
 
@@ -110,9 +110,13 @@ def missing_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return shares.filter(F.col("missing_ratio") > threshold)
 
 
+_ROUGH = 0.05  # standard error of the sketch that looks for likely identifiers
+_SURE = 0.7  # six of those errors below the share that is looked for
+
+
 def distinct_per_column(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    count = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else (lambda c: F.count_distinct(F.col(c)))
-    return _per_column(df, list(columns or df.columns), count)
+    found = distinct_table(df, {c: F.col(c) for c in columns or df.columns}, approx)
+    return found.select(F.col("name").alias("column"), "rows", F.col("distinct").alias("n"))
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
@@ -157,7 +161,7 @@ def detect_sensitive_columns(df: DataFrame) -> DataFrame:
         exprs[f"e{i}"] = F.count_if(v.rlike(patterns.EMAIL))
         exprs[f"p{i}"] = F.count_if(v.rlike(patterns.PHONE))
         exprs[f"a{i}"] = F.min(F.regexp_replace(v, "[-_]", "").rlike(patterns.ALPHANUMERIC))
-        exprs[f"d{i}"] = F.approx_count_distinct(v, 0.01)
+        exprs[f"d{i}"] = F.approx_count_distinct(F.xxhash64(v), _ROUGH)
     seen = single_row(df, exprs)
 
     def cell(column: str, reason: str, confidence: str) -> Column:
@@ -170,13 +174,14 @@ def detect_sensitive_columns(df: DataFrame) -> DataFrame:
             cells.append(cell(c, "email_pattern", "high"))
         elif seen[f"p{i}"] > half:
             cells.append(cell(c, "phone_pattern", "high"))
-        elif seen[f"a{i}"] and seen[f"d{i}"] > seen["rows"] * 0.9 * 0.8:
+        elif seen[f"a{i}"] and seen[f"d{i}"] > seen["rows"] * 0.9 * _SURE:
             likely.append(c)
-    aggregates = [F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(likely)]]
-    for i, c in enumerate(likely):
-        cells.append(F.when(_share(F.col(f"_d{i}"), F.col("_rows")) > 0.9, cell(c, "potential_identifier", "medium")))
+    if likely:
+        for r in distinct_table(df, {c: F.col(c) for c in likely}).collect():  # one row per column
+            if r["distinct"] > r["rows"] * 0.9:
+                cells.append(cell(r["name"], "potential_identifier", "medium"))
     empty = F.lit(None).cast("struct<column:string,reason:string,confidence:string>")
-    return df.agg(*aggregates).select(F.inline(F.filter(F.array(empty, *cells), lambda x: x.isNotNull())))
+    return df.sparkSession.range(1).select(F.inline(F.filter(F.array(empty, *cells), lambda x: x.isNotNull())))
 
 
 def zscore_outliers(df: DataFrame, threshold: float = 3.0, share: float = 0.05, minimum: int = 10) -> DataFrame:
@@ -347,20 +352,12 @@ def quality_by_column(df: DataFrame) -> DataFrame:
 def casing_issues(df: DataFrame) -> DataFrame:
     """Text columns with fewer distinct values after lowercasing."""
     texts = roles.text_columns(df)
-    wide = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(texts)],
-        *[F.count_distinct(F.lower(c)).alias(f"l{i}") for i, c in enumerate(texts)],
-    )
-    empty = F.lit(None).cast("struct<column:string,distinct:bigint,distinct_lower:bigint>")
-    cells = [
-        F.when(
-            F.col(f"d{i}") != F.col(f"l{i}"),
-            F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct"), F.col(f"l{i}").alias("distinct_lower")),
-        )
-        for i, c in enumerate(texts)
-    ]
-    return wide.select(F.inline(F.filter(F.array(empty, *cells), lambda x: x.isNotNull())))
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, distinct long, distinct_lower long")
+    both = distinct_table(df, {c: F.col(c) for c in texts} | {f"{c} lowered": F.lower(c) for c in texts}).select(F.col("name"), F.col("distinct"))
+    low = both.select(F.col("name").alias("_low"), F.col("distinct").alias("distinct_lower"))
+    met = both.join(low, F.concat("name", F.lit(" lowered")) == F.col("_low"))  # one row per column
+    return met.where((F.col("distinct") != F.col("distinct_lower")) & F.col("name").isin(texts)).select(F.col("name").alias("column"), "distinct", "distinct_lower")
 
 
 def _issue_score(issues: DataFrame, columns: int, name: str) -> DataFrame:

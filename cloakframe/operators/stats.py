@@ -56,11 +56,51 @@ def value_counts(df: DataFrame, columns: Sequence[str], cast: str = "string", ke
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> dict[str, int]:
-    """Distinct non-null values per column; ``approx`` answers from one HyperLogLog pass."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    row = single_row(df, {f"d{i}": fn(F.col(c)) for i, c in enumerate(columns)})
-    return {c: row[f"d{i}"] for i, c in enumerate(columns)}
+SKETCH_BITS = 12  # log2 of the registers of a sketch: a standard error of about 1.6 %
+
+
+def digest_cell(number: int, value: Column) -> Column:
+    """``(i, h, g)``: a value as 128 bits (two hashes from different starts), null as nulls."""
+    hashed = lambda *parts: F.when(value.isNotNull(), F.xxhash64(*parts))
+    return F.struct(F.lit(number).alias("i"), hashed(value).alias("h"), hashed(F.lit(1), value).alias("g"))
+
+
+def distinct_table(df: DataFrame, values: dict[str, Column], approx: bool = False) -> DataFrame:
+    """``(name, rows, missing, distinct)`` of many columns in one scan and one grouping.
+
+    Each cell becomes (column number, digest), equal ones are counted before the shuffle, and no value
+    itself is shuffled, however long. Two values of a column fall together with a chance of 2 ** -128 per pair.
+    ``approx`` answers from the sketches of ``distinct_sketches``, without a shuffle of cells.
+    """
+    names = list(values)
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, name string")
+    if approx:
+        found = distinct_sketches(df, values).select(F.col("name").alias("_name"), "rows", "missing", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("distinct"))
+        return listed.join(found, F.col("name") == F.col("_name"), "left").select("name", "rows", "missing", "distinct")
+    cells = df.select(F.inline(F.array(*[digest_cell(i, v) for i, v in enumerate(values.values())])))
+    counted = cells.groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy("i").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("h").alias("distinct"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return listed.join(found, "i", "left").select("name", zero("rows"), zero("missing"), zero("distinct"))  # one row per column
+
+
+def distinct_sketches(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``(name, rows, missing, sketch)``: a mergeable sketch of the distinct values of each column, in one scan."""
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    for i, v in enumerate(values.values()):
+        digest = F.when(v.isNotNull(), F.xxhash64(v))
+        aggregates += [F.count(v).alias(f"_n{i}"), F.hll_sketch_agg(digest, F.lit(SKETCH_BITS)).alias(f"_s{i}")]
+    rows = [
+        F.struct(F.lit(c).alias("name"), F.col("_rows").alias("rows"), (F.col("_rows") - F.col(f"_n{i}")).alias("missing"), F.col(f"_s{i}").alias("sketch"))
+        for i, c in enumerate(values)
+    ]
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
+def merged_sketches(tables: Sequence[DataFrame]) -> DataFrame:
+    """The sketches of several tables, or of the days of one, as those of all their rows."""
+    every = reduce(DataFrame.unionByName, tables)
+    return every.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.hll_union_agg("sketch").alias("sketch"))
 
 
 def any_null(columns: Sequence[str]) -> Column:

@@ -342,7 +342,7 @@ def test_sensitive_rules_in_order(spark):
 
 
 def test_many_columns_are_split_over_several_aggregates(spark, monkeypatch):
-    monkeypatch.setattr(measures, "COLUMNS_PER_JOB", 4)
+    monkeypatch.setattr(measures, "PAIRS_AT_ONCE", 4)
     monkeypatch.setattr(quality, "COLUMNS_PER_JOB", 4)
     df = spark.range(30).select(*[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(1, 7)])
     assert measures.correlations(df, df.columns).count() == 15 and measures.correlation_preservation(df, df).first()[0] == pytest.approx(1.0)
