@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .base import materialize
 from .components import components, local_roots
 from .shards import KEY_BITS, NO_ID, census, codes_of, in_order, parts, sharded
-from .text import Scan, mix, shingles
+from .text import Scan, mix, settled, shingles
 
 FREQUENT = 5  # code of the census (bits of the count) from which tokens count as frequent: 16 sets
 BLOCK_SETS = 256
@@ -202,7 +202,7 @@ def _verified(entries: DataFrame, per_cent: int) -> DataFrame:
     # first round: every block with itself and with block 0
     targets = F.when((F.col("blocks") > 1) & (F.col("block") == 0), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = sets.withColumn("target", F.explode(targets)).select("cluster", "target", "blocks", "id", "tokens")
-    links = materialize(first.groupBy("cluster", "target").applyInArrow(_compare(per_cent, False), "a long, b long, large boolean"), "links")
+    links = materialize(first.groupBy("cluster", "target").applyInArrow(settled(_compare(per_cent, False)), "a long, b long, large boolean"), "links")
     done = links.where("not large").select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = sets.where("blocks > 1")
     if large.isEmpty():
@@ -218,7 +218,7 @@ def _verified(entries: DataFrame, per_cent: int) -> DataFrame:
     asks = marked.where("outside").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int"))
     asks = asks.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "g", "target", "id", "tokens", F.lit(True).alias("asks"))
     told = marked.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cluster", "g", F.col("block").alias("target"), "id", "tokens", F.lit(False).alias("asks"))
-    more = asks.unionByName(told).groupBy("cluster", "g", "target").applyInArrow(_compare(per_cent, True), "a long, b long, large boolean")
+    more = asks.unionByName(told).groupBy("cluster", "g", "target").applyInArrow(settled(_compare(per_cent, True)), "a long, b long, large boolean")
     return done.unionByName(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))))
 
 
@@ -228,7 +228,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFrame:
     ranges = shards.ranges(RANGE_BYTES)
     counts = census(shards, _keys(n), _bits, ranges)
     signed = shards.docs.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(
-        _signer(n, per_cent, ranges), "doc_id long, n long, one long, two long, signs array<long>, tokens binary")
+        settled(_signer(n, per_cent, ranges)), "doc_id long, n long, one long, two long, signs array<long>, tokens binary")
     rows = materialize(signed, "signed")
     whole = rows.where("n > 0 and doc_id is not null")
     sets = materialize(whole.groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "sets")

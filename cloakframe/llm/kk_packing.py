@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .text import slices
+from .text import settled, settled_map, slices
 
 CAPACITY = 4096
 PIECE = 1024
@@ -225,11 +225,11 @@ def kk_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece; ``tokenizer``: the file's path."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(named.mapInArrow(_tokenize(tokenizer), fields).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = materialize(named.mapInArrow(settled_map(_tokenize(tokenizer)), fields).withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == CAPACITY).select(*fields.replace(" long", "").split(", "), (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < CAPACITY)
     tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-tokens // GROUP_TOKENS))
     dealt = rest.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = dealt.groupBy("pack").applyInArrow(_pack_group, f"{fields}, sequence_id long, offset long")
+    packed = dealt.groupBy("pack").applyInArrow(settled(_pack_group), f"{fields}, sequence_id long, offset long")
     return whole.unionByName(packed)

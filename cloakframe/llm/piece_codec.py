@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import settled_map, slices
 
 SPACE_SYMBOL = "▁"
 _SPACE = ord(SPACE_SYMBOL)
@@ -568,7 +568,7 @@ def _encode(path: str):
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, edges``: piece ``k`` of a text covers its bytes ``edges[k]`` to ``edges[k + 1]``; ``model``: the file's path."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model), "doc_id long, ids array<int>, edges array<int>")
+    return rows.mapInArrow(settled_map(_encode(model)), "doc_id long, ids array<int>, edges array<int>")
 
 
 def _decode(path: str, keep: list[str]):
@@ -596,4 +596,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (with ``ids``) and the ``text`` its ids stand for; an own column ``text`` is replaced."""
     keep = [c for c in encoded.columns if c != "text"]
     fields = encoded.select(*keep).schema.add("text", "string")
-    return encoded.select(*keep).mapInArrow(_decode(model, keep), fields)
+    return encoded.select(*keep).mapInArrow(settled_map(_decode(model, keep)), fields)

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .base import held_out
 from .fitting import Model, fit, logistic, platt, sample_of, with_texts
-from .text import Scan, as_bytes, mix, owner, slices
+from .text import Scan, as_bytes, mix, owner, settled_map, slices
 
 SAMPLE_ROWS = 3000  # labelled documents the model is fitted on, at most
 BITS = 18
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, model) -> DataFrame:
 
     base = docs.drop("score")
     fields = StructType([*base.schema.fields, StructField("score", DoubleType())])
-    return base.mapInArrow(run, fields)
+    return base.mapInArrow(settled_map(run), fields)
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import width_for
-from .text import as_bytes
+from .text import as_bytes, settled
 
 SHARD_BYTES = 4_000_000
 KEY_BITS = 40
@@ -112,8 +112,8 @@ def census(shards: Shards, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np
         out = [packed(codes[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         return pa.table({"shard": table.column("shard"), "range": table.column("range"), "codes": pa.array(out, pa.binary())})
 
-    sent = shards.docs.groupBy("shard").applyInArrow(send, "range long, shard int, keys binary, counts binary")
-    return sent.groupBy("range").applyInArrow(answer, "shard int, range long, codes binary")
+    sent = shards.docs.groupBy("shard").applyInArrow(settled(send), "range long, shard int, keys binary, counts binary")
+    return sent.groupBy("range").applyInArrow(settled(answer), "shard int, range long, codes binary")
 
 
 def codes_of(keys: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:

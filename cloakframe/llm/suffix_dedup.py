@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .shards import KEY_BITS, census, codes_of, in_order, packed, parts, sharded, unpacked
-from .text import Scan, distinct, owner
+from .text import Scan, distinct, owner, settled
 
 LENGTH = 50
 GRAM = 20
@@ -436,10 +436,10 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, block: int = BLOCK) -
     ranges = shards.ranges(RANGE_BYTES)
     counts = census(shards, _keys, _kind, ranges)
     sent = shards.docs.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(
-        _sender(ranges), "range long, shard int, starts binary, times binary, id binary, doc binary, place binary, text binary")
-    spans = sent.groupBy("range").applyInArrow(_match(block), "shard int, doc binary, low binary, size binary")
+        settled(_sender(ranges)), "range long, shard int, starts binary, times binary, id binary, doc binary, place binary, text binary")
+    spans = sent.groupBy("range").applyInArrow(settled(_match(block)), "shard int, doc binary, low binary, size binary")
     schema = StructType([*base.schema.fields, *stats.fields])
-    found = shards.docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_remover(base.columns, with_text), schema)
+    found = shards.docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(settled(_remover(base.columns, with_text)), schema)
     named = [F.col(c) if c in {"doc_id", "text"} else F.col("others").getField(c).alias(c) for c in docs.columns if c not in stats.names]
     return found.select(*named, *stats.names)
 

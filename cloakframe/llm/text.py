@@ -7,7 +7,9 @@ line feed before, between and after them. All positions below are positions in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +156,59 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", budget: int =
             to = max(at + 1, int(np.searchsorted(ends, before + budget, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+KEPT_POWERS = 1 << 21  # entries of the power tables that a worker keeps between groups
+_settled = [0.0]
+
+
+def settle(often: float = 0.0) -> None:
+    """Give back what a worker has freed, at most once in ``often`` seconds: workers live on, beside those of later stages."""
+    now = time.monotonic()
+    if now - _settled[0] < often:
+        return
+    _settled[0] = now
+    if len(_powers[0]) > KEPT_POWERS:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def settled(fn: Callable) -> Callable:
+    """A grouped function that settles after its groups. Spark looks at the number of arguments, so it stays."""
+    count = fn.__code__.co_argcount
+    if count == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            out = fn(table)
+            settle(1.0)
+            return out
+
+        return one
+    if count == 2:
+
+        def two(first, second):
+            out = fn(first, second)
+            settle(1.0)
+            return out
+
+        return two
+
+    def three(key, first, second):
+        out = fn(key, first, second)
+        settle(1.0)
+        return out
+
+    return three
+
+
+def settled_map(fn: Callable) -> Callable:
+    """A function over batches that settles when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        settle()
+
+    return run
