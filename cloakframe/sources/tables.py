@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -14,8 +13,9 @@ from pyspark.sql import types as T
 from ..functions import patterns
 from ..functions import schema as roles
 from ..operators.stats import COLUMNS_PER_JOB, null_count, single_row
+from ..session import materialize
+from . import csv_files
 
-DELIMITERS = [",", ";", "\t", "|"]
 MAX_ROWS = 1_000_000
 MAX_COLUMNS = 1_000
 
@@ -54,30 +54,13 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
 class Dialect:
     delimiter: str
     encoding: str
-    multi_line: bool  # a quoted value spans lines somewhere, so files cannot be split
+    multi_line: bool  # a quoted value spans lines somewhere
 
 
 def csv_dialect(spark: SparkSession, path: str) -> Dialect:
-    """Dialect of a CSV folder, from one aggregate over all its lines.
-
-    The delimiter is the one whose number outside quotes agrees most often with the
-    first line's, the one with more of them on ties. One line that is not UTF-8
-    makes the encoding Latin-1; one line with an odd number of quotes makes records span lines.
-    """
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    head = lines.head()
-    if head is None:
-        return Dialect(",", "utf-8", False)
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    number = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
-    first = {d: re.sub('"[^"]*"', "", head["value"]).count(d) for d in DELIMITERS}
-    seen = [d for d in DELIMITERS if first[d]]
-    row = lines.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(number(F.col("value"), '"') % 2 == 1).alias("odd"),
-        *[F.count_if(number(bare, d) == first[d]).alias(f"d{i}") for i, d in enumerate(seen)],
-    ).first()
-    best = max(seen, key=lambda d: (row[f"d{seen.index(d)}"], first[d]), default=",")
-    return Dialect(best, "iso-8859-1" if row["invalid"] else "utf-8", row["odd"] > 0)
+    """The dialect of most splits of a CSV folder (:func:`csv_files.csv_splits` decides it per file)."""
+    found = csv_files.kinds(csv_files.csv_splits(spark, path))
+    return Dialect(found[0]["delimiter"], found[0]["encoding"], found[0]["multi_line"]) if found else Dialect(",", "utf-8", False)
 
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -86,18 +69,30 @@ def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
     return found.delimiter, found.encoding
 
 
-_CORRUPT = "_corrupt_record"
+_CORRUPT = csv_files.CORRUPT
 
 
-def read_csv_records(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+def read_csv_records(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None, assemble: bool | None = None) -> DataFrame:
     """Every record as text columns; ``_corrupt_record`` holds those that do not fit the header, and is null otherwise.
 
-    ``multi_line=False`` keeps large files splittable where no quoted value holds a line feed; by default the data decide.
+    Delimiter, encoding and line feeds within quotes are decided per file where they are not given. Files of one
+    dialect are read by Spark's reader; files of several dialects, and files of several splits with records
+    that span lines, are put together from lines (``assemble`` forces or forbids it), so such files stay splittable.
+    An encoding that is given and neither UTF-8 nor Latin-1 goes to Spark's reader.
     """
     if delimiter is None or encoding is None or multi_line is None:
-        found = csv_dialect(spark, path)
-        delimiter, encoding = delimiter or found.delimiter, encoding or found.encoding
-        multi_line = found.multi_line if multi_line is None else multi_line
+        given = {"delimiter": delimiter, "encoding": encoding and encoding.lower(), "multi_line": multi_line}
+        splits = csv_files.csv_splits(spark, path).withColumns({k: F.lit(v) for k, v in given.items() if v is not None})
+        splits = materialize(splits, "csv")
+        found = csv_files.kinds(splits)
+        lines = encoding is None or encoding.lower() in ("utf-8", "iso-8859-1")
+        if assemble is None:
+            assemble = len(found) > 1 or any(k["multi_line"] and k["last"] > 0 for k in found)
+        if assemble and lines and any(k["first"] for k in found):
+            return csv_files.parse_records(csv_files.split_records(spark, path, splits, found), found)
+        first = found[0] if found else {"delimiter": ",", "encoding": "utf-8", "multi_line": False}
+        delimiter, encoding = delimiter or first["delimiter"], encoding or first["encoding"]
+        multi_line = any(k["multi_line"] for k in found) if multi_line is None else multi_line
     options = {"header": True, "sep": delimiter, "encoding": encoding, "escape": '"', "multiLine": multi_line, "lineSep": "\n" if multi_line else None}
     reader = spark.read.options(**{k: v for k, v in options.items() if v is not None})
     header = reader.csv(path).schema

@@ -61,6 +61,37 @@ def test_csv_counts_what_does_not_fit(spark, tmp_path):
     assert [r["_corrupt_record"] for r in records.collect() if r["_corrupt_record"]] == ["2,b,extra"]
 
 
+def test_csv_dialect_is_decided_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,name\n1,Zoë\n".encode())
+    (tmp_path / "b.csv").write_bytes("id;name\n2;José\n3;x,y\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes('id|name\n4|"two\nlines"\n5|"a ""q"""\r\n'.encode())
+    got = {r["id"]: r["name"] for r in tables.scan_csv(spark, str(tmp_path)).collect()}
+    assert got == {1: "Zoë", 2: "José", 3: "x,y", 4: "two\nlines", 5: 'a "q"'}
+
+
+def test_split_quoted_records_equal_whole_files(spark, tmp_path):
+    """Records over many small splits, with blank lines, escaped and stray quotes, equal the reader of whole files."""
+    texts = ["plain", "", 'said "hi"', "a\n\nb", "\n", 'x"\n"y', 'long ' + "line\n" * 90, '5" pipe', "Zoë; x,y", '"', ',"\n",']
+    lines = ["id,text,n", ""]
+    for i in range(300):
+        t = texts[i % len(texts)]
+        lines.append(f'{i},{t if t == '5" pipe' else chr(34) + t.replace(chr(34), chr(34) * 2) + chr(34)},{i * 7}' + ("\n" if i % 13 == 0 else ""))
+    (tmp_path / "q.csv").write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old, cost = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    whole = sorted(map(tuple, tables.read_csv_records(spark, str(tmp_path), assemble=False).collect()), key=str)
+    spark.conf.set(key, "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = tables.read_csv_records(spark, str(tmp_path))
+        assert "Scan text" in split._jdf.queryExecution().executedPlan().toString() and split.columns == ["id", "text", "n", "_corrupt_record"]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert sorted(map(tuple, split.collect()), key=str) == whole and len(whole) == 300
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
 def test_large_files_are_hashed_and_searched(spark, tmp_path):
     (tmp_path / "big.csv").write_text("x" * 500 + "<script>alert(1)</script>")
     row = files.file_manifest(spark, str(tmp_path), max_size=100).first()
