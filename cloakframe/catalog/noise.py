@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import budget as budget_ops
 from ..operators import noise as ops
 from ..operators.dp_train import dp_logistic_fit as fit_logistic
+from ..operators.dp_train import noise_multiplier
 from .base import SALT, one_value, r, rounded, sql_alias, sql_bin, sql_drawn, sql_flip, sql_laplace, sql_normal, sql_uniform, table
 
 
@@ -99,7 +100,29 @@ def dp_logistic_fit(spark, sf):
     )
     model = fit_logistic(df, ["price", "group"], "label", 5.0, 1e-5, ["o_orderkey"], SALT, learning_rate=1.0)
     scored = model.predict(df)
-    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg("probability").alias("mean_probability"))
+    return rounded(scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg("probability").alias("mean_probability")))
+
+
+def _sql_dp_logistic(steps: int = 40, rate: float = 0.25) -> str:
+    """The training of :func:`dp_logistic_fit`, one CTE per step."""
+    sigma = noise_multiplier(5.0, 1e-5, steps, rate)
+    inputs = ["price", "grp", "1.0::DOUBLE"]
+    score = lambda w: f"({w}.w0 * price + {w}.w1 * grp + {w}.w2)"
+    parts = [
+        "d AS MATERIALIZED (SELECT o_orderkey, o_totalprice / 500000.0::DOUBLE AS price, (o_custkey % 10) / 10.0::DOUBLE AS grp, (o_totalprice > 250000)::INT AS label FROM orders)",
+        "w_0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)",
+    ]
+    for t in range(steps):
+        rows = (
+            f"SELECT price, grp, e, least(1.0::DOUBLE, 1.0::DOUBLE / greatest(sqrt(price * price + grp * grp + 1.0::DOUBLE) * abs(e), 1e-12::DOUBLE)) AS shrink FROM "
+            f"(SELECT price, grp, 1.0::DOUBLE / (1.0::DOUBLE + exp(-{score(f'w_{t}')})) - label AS e FROM d, w_{t} WHERE {sql_uniform(SALT, f'step:{t}', 'o_orderkey')} < {rate})"
+        )
+        noise = [f"{sql_normal(SALT, f'noise:{t}', str(i))} * {sigma!r}::DOUBLE" for i in range(3)]
+        sums = ", ".join(f"coalesce(sum({x} * e * shrink), 0.0) + {noise[i]} AS g{i}" for i, x in enumerate(inputs))
+        moved = ", ".join(f"w{i} - g{i} / greatest(1.0::DOUBLE, {rate}::DOUBLE * (SELECT count(*) FROM d)) AS w{i}" for i in range(3))
+        parts.append(f"w_{t + 1} AS MATERIALIZED (SELECT {moved} FROM w_{t}, (SELECT {sums} FROM ({rows})))")
+    probability = f"avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-{score(f'w_{steps}')})))"
+    return f"WITH {', '.join(parts)} SELECT label, count(*) AS rows, {r(probability)} AS mean_probability FROM d, w_{steps} GROUP BY label"
 
 
 _EXP = "floor(exp({0}::DOUBLE * (n - (SELECT max(n) FROM n))) * 1152921504606846976.0::DOUBLE)"
@@ -119,6 +142,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "dp_logistic_fit": _sql_dp_logistic(),
     "global_sensitivity": f"SELECT {r('greatest(max(o_totalprice) - min(o_totalprice), 1.0)')} AS sensitivity FROM orders",
     "gaussian_mechanism": f"SELECT o_orderkey, {r('o_totalprice + ' + sql_normal(SALT, 'gauss:o_totalprice', 'o_orderkey') + ' * ' + _SIGMA, 2)} AS o_totalprice, "
     f"{sql_flip('orders', 'o_orderstatus', 'o_orderkey', 0.5, SALT)} AS o_orderstatus, {sql_flip('orders', 'o_orderpriority', 'o_orderkey', 0.5, SALT)} AS o_orderpriority FROM orders",

@@ -223,6 +223,36 @@ def test_dp_logistic_learns_a_separable_label(spark):
     assert dp_train.noise_multiplier(1.0, 1e-5, 10) > dp_train.noise_multiplier(5.0, 1e-5, 10)
 
 
+def test_sampled_renyi_equals_the_integral():
+    """Against the definition: the mean of ((1 - q) + q N(1, s) / N(0, s)) ** order under N(0, s)."""
+    import numpy as np
+
+    for rate, sigma, order in ((0.01, 1.1, 2), (0.25, 2.0, 8), (0.1, 1.5, 16), (0.5, 4.0, 33)):
+        z = np.linspace(-40 * sigma, order + 40 * sigma, 2_000_001)
+        log_p = -(z**2) / (2 * sigma**2) - np.log(sigma * np.sqrt(2 * np.pi))
+        ratio = np.logaddexp(np.log1p(-rate), np.log(rate) + (2 * z - 1) / (2 * sigma**2))
+        value = np.log(np.trapezoid(np.exp(log_p + order * ratio), z)) / (order - 1)
+        assert dp_train.sampled_renyi(rate, sigma, order) == pytest.approx(value, rel=1e-6)
+    assert dp_train.sampled_renyi(1.0, 2.0, 5) == 5 / 8
+    assert dp_train.sampled_renyi(1 - 1e-12, 2.0, 5) == pytest.approx(5 / 8)
+    # sampling earns credit, and the multiplier is the least that stays within epsilon
+    few, all_rows = dp_train.noise_multiplier(5.0, 1e-5, 40, 0.25), dp_train.noise_multiplier(5.0, 1e-5, 40)
+    assert few < all_rows / 2
+    assert dp_train.spent_epsilon(few, 0.25, 40, 1e-5) <= 5.0 < dp_train.spent_epsilon(few * 0.999, 0.25, 40, 1e-5)
+
+
+def test_dp_logistic_repeats_and_skips_nulls(spark):
+    df = spark.range(200).select("id", (F.col("id") / 200.0).alias("x")).withColumn("y", (F.col("x") > 0.5).cast("int"))
+    nulls = spark.createDataFrame([(900, None, 1), (901, 0.5, None)], "id long, x double, y int")
+    fit = lambda d: dp_train.dp_logistic_fit(d, ["x"], "y", 5.0, 1e-5, ["id"], "s", epochs=2, steps_per_epoch=1)
+    one = fit(df.repartition(3))
+    assert fit(df.repartition(7)).weights == pytest.approx(one.weights, abs=1e-12)
+    wide = fit(df.unionByName(nulls))
+    assert wide.weights == pytest.approx([w * 200 / 202 for w in one.weights], rel=0.2)
+    empty = fit(df.limit(0))
+    assert len(empty.weights) == 1 and abs(empty.intercept) < 100
+
+
 # ---- synthesis and fidelity --------------------------------------------------------
 
 

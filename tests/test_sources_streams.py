@@ -128,6 +128,34 @@ def test_file_manifest(spark, tmp_path):
     assert "too_large" in large["bad.csv"]["errors"] and large["bad.csv"]["patterns"] == "<script" and large["bad.csv"]["sha256"] == hashlib.sha256(content).hexdigest()
 
 
+def test_manifest_in_blocks(spark, tmp_path):
+    """Empty files are listed, patterns across blocks found, digests those of whole files."""
+    (tmp_path / "sub").mkdir()
+    texts = {"empty.csv": b"", "cut.csv": b"x" * 29 + b"<ScRiPt" + b"y" * 50, "sub/deep.csv": bytes(range(256)) * 5, "exact.csv": b"z" * 64}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    rows = {r["name"]: r for r in files.file_manifest(spark, str(tmp_path), block=32).collect()}
+    assert {n.split("/")[-1] for n in texts} == set(rows)
+    for name, text in texts.items():
+        row = rows[name.split("/")[-1]]
+        assert row["size"] == len(text) and row["sha256"] == hashlib.sha256(text).hexdigest()
+    assert rows["cut.csv"]["patterns"] == "<script" and rows["empty.csv"]["errors"] == "empty" and rows["exact.csv"]["valid"]
+    (tmp_path / "none").mkdir()
+    assert files.file_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_manifest_of_a_file_over_two_gigabytes(spark, tmp_path):
+    path = tmp_path / "huge.csv"
+    with path.open("wb") as f:
+        f.truncate(2**31 + 10)  # sparse
+        f.seek(2**31)
+        f.write(b"<script")
+    row = files.file_manifest(spark, str(tmp_path)).first()
+    with path.open("rb") as f:
+        assert row["sha256"] == hashlib.file_digest(f, "sha256").hexdigest()
+    assert row["size"] == 2**31 + 10 and row["patterns"] == "<script" and row["errors"] == "too_large"
+
+
 def test_load_gate_on_empty_table(spark):
     rows = tables.load_gate(spark.createDataFrame([], "a int")).collect()
     assert [(r["severity"], r["check"]) for r in rows] == [("error", "no_rows")]
