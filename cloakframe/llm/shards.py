@@ -1,6 +1,7 @@
 """Documents in shards of bounded bytes, and exact corpus counts of hashed keys per shard.
 
-A shard is a group of whole documents by a hash of ``doc_id``. Its distinct keys
+A shard is a group of whole documents by a hash of ``doc_id``, of the text where that is
+null. Its distinct keys
 (40 bits of a hash) are sent to ranges of keys, delta coded, one row per shard and
 range; a range adds up the counts of all shards and answers each shard with one
 code per key. Both sides are counted before they are sent, so a key found
@@ -55,7 +56,7 @@ def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Shards:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("long")).first()[0]
     spark = docs.sparkSession
     count = max(4 * width_for(spark, 0, 1), -(-total // shard_bytes))
-    return Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")), count, total)
+    return Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(count)).cast("int")), count, total)
 
 
 def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:

@@ -22,6 +22,7 @@ from cloakframe.llm.language_crf import language
 from cloakframe.llm.line_rules import line_rules, strip_lines
 from cloakframe.llm.minimax_shards import minimax_shards
 from cloakframe.llm.quality_svm import quality
+from cloakframe.llm.shards import sharded
 from cloakframe.llm.source_mix import mixed_texts, source_mix
 from cloakframe.llm.text import Scan, shingles
 from cloakframe.llm.toxicity_bag import toxicity
@@ -127,6 +128,16 @@ def test_suffix_dedup_matches_brute_force(docs, nothing, rows):
     assert sd.suffix_dedup(nothing).count() == 0
 
 
+def test_rows_without_id_are_spread_over_shards(spark):
+    """A third of the rows without doc_id fill no shard; repeated texts stay together and the others keep their shard."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2900).alias("text"))
+    shards = sharded(df)
+    sizes = [r["count"] for r in shards.docs.groupBy("shard").count().collect()]
+    assert max(sizes) < 2 * 3000 / shards.count
+    texts = shards.docs.where("doc_id is null").groupBy("text").agg(F.count_distinct("shard").alias("n"))
+    assert texts.where("n > 1").isEmpty()
+
+
 def test_suffix_dedup_with_small_blocks_and_hot_strings(spark, monkeypatch):
     rng = random.Random(4)
     common, passage = prose(rng, 30), prose(rng, 25)
