@@ -426,3 +426,15 @@ def test_membership_features_in_blocks(spark, monkeypatch):
     whole = attacks.membership_features(df, df, ["a", "c"], "k").orderBy("k").collect()
     monkeypatch.setattr(distances, "QUERY_BLOCK", 25)
     assert attacks.membership_features(df, df, ["a", "c"], "k").orderBy("k").collect() == whole
+    monkeypatch.setattr(distances, "REFERENCE_PART", 20)
+    split = attacks.membership_features(df, df, ["a", "c"], "k").orderBy("k").collect()
+    assert [tuple(r) for r in split] == [pytest.approx(tuple(r)) for r in whole]
+
+
+def test_membership_features_without_reference_and_with_equal_queries(spark):
+    asked = frame(spark, [(1, 2.0, "x"), (1, 2.0, "x"), (2, None, None)], "id int, a double, c string")
+    none = attacks.membership_features(asked, asked.where("id > 9"), ["a", "c"], "id").orderBy("id").collect()
+    assert [tuple(r) for r in none] == [(1, *[None] * 5), (1, *[None] * 5), (2, *[None] * 5)]
+    some = attacks.membership_features(asked, asked, ["a", "c"], "id").orderBy("id").collect()
+    assert [(r["id"], r["d_min"]) for r in some] == [(1, 0.0), (1, 0.0), (2, 1.0)]
+    assert attacks.membership_features(asked.where("id > 9"), asked, ["a", "c"], "id").count() == 0
