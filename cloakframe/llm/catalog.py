@@ -130,6 +130,20 @@ component AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
 FROM v LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)"""
 
+_WORDS_OF = _WORDS.format(f"translate(coalesce(text, ''), '{_UPPER[:26]}', '{_LOWER[:26]}')")
+_JACCARD_JOIN = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS_OF} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS MATERIALIZED (SELECT doc_id, g, n FROM s JOIN sizes USING (doc_id)),
+half AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN component USING (doc_id)"""
 _FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}")) + ")"
 _MERKLE = f"""
@@ -167,4 +181,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGIN
 FROM parts"""
 
 #: The other operators draw, learn, search iteratively or go byte by byte; tests/llm holds those against brute force.
-ORACLES: dict[str, str] = {"op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES, "op11_merkle_manifest": _MERKLE, "op12_fill_middle": _FILL_MIDDLE}
+ORACLES: dict[str, str] = {"op4_jaccard_join": _JACCARD_JOIN, "op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES, "op11_merkle_manifest": _MERKLE, "op12_fill_middle": _FILL_MIDDLE}
