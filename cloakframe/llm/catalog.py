@@ -130,6 +130,20 @@ component AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
 FROM v LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)"""
 
+_SUFFIX_DEDUP = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+shared AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, i FROM w JOIN shared ON w.g = shared.g WHERE w.doc_id > least),
+opened AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 THEN 1 ELSE 0 END AS opens FROM hit),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
+runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM runs
+    UNION ALL SELECT doc_id, max(b), 4611686018427387904 FROM runs GROUP BY doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(substr(h, 2 * p + 1, least(2 * (least(q, len(h)) - p), len(h))), '' ORDER BY p) AS k FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY gaps.doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 _WORDS_OF = _WORDS.format(f"translate(coalesce(text, ''), '{_UPPER[:26]}', '{_LOWER[:26]}')")
 _JACCARD_JOIN = f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS_OF} AS w FROM documents),
@@ -181,4 +195,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGIN
 FROM parts"""
 
 #: The other operators draw, learn, search iteratively or go byte by byte; tests/llm holds those against brute force.
-ORACLES: dict[str, str] = {"op4_jaccard_join": _JACCARD_JOIN, "op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES, "op11_merkle_manifest": _MERKLE, "op12_fill_middle": _FILL_MIDDLE}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": _SUFFIX_DEDUP, "op4_jaccard_join": _JACCARD_JOIN, "op9_embedding_dups": _EMBEDDING_DUPS, "op10_line_rules": _LINE_RULES, "op11_merkle_manifest": _MERKLE, "op12_fill_middle": _FILL_MIDDLE}
