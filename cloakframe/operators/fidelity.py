@@ -23,6 +23,7 @@ from .measures import (
 )
 from .neighbors import nearest
 from .quantiles import mode_table
+from .stats import correlation
 
 NUDGE = 1e-10
 
@@ -42,7 +43,7 @@ def correlation_of_correlations(original: DataFrame, synthetic: DataFrame) -> Da
     sides = pair_rows(correlations(original, columns), correlations(synthetic, columns))
     cells = sides.groupBy("col_a", "col_b").agg(*[_side(s, F.col("corr")).alias(s) for s in "od"])
     undefined = F.max((F.col("o").isNull() | F.col("d").isNull()).cast("int")) == 1
-    r = F.nanvl(F.corr("o", "d"), F.lit(0.0))
+    r = F.nanvl(correlation("o", "d"), F.lit(0.0))
     return cells.agg(F.when(undefined, F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0))).alias(name))
 
 

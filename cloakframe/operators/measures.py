@@ -14,7 +14,7 @@ from .budget import MAX_EPSILON
 from .disclosure import generalize_numeric
 from .gram import wide_correlations
 from .ranking import prefix_sums
-from .stats import distinct_table, no_null, null_count, stacked
+from .stats import correlation, distinct_table, no_null, null_count, stacked
 
 # Column-name parts that mark a likely quasi-identifier.
 QI_NAMES = ["age", "zip", "postal", "income", "education", "occupation"]
@@ -203,13 +203,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return wide_correlations(df, columns)
     value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
 
-    def corr(a: str, b: str) -> Column:
-        # corr() divides by the deviations, an error where a column is constant, and sums of a constant may deviate by rounding
-        one, two = F.when(value[b].isNotNull(), value[a]), F.when(value[a].isNotNull(), value[b])
-        varies = (F.min(one) < F.max(one)) & (F.min(two) < F.max(two))
-        return F.when(varies, F.try_divide(F.covar_pop(value[a], value[b]), F.stddev_pop(one) * F.stddev_pop(two)))
-
-    wide = df.agg(*[corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(value[a], value[b]).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return wide.select(F.inline(F.array(*rows)))
 

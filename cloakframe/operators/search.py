@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.randomness import uniform
 from .ranking import running_min_before
+from .stats import correlation
 
 SYNTHETIC_METHODS = ("sdg", "sdg_dp", "sdg_sdc", "full")
 CONTROL_METHODS = ("sdc", "sdg_sdc", "dp_sdc", "full")
@@ -73,7 +74,7 @@ def convergence_rate(history: DataFrame, by: list[str] | None = None, order: str
 def parameter_sensitivity(history: DataFrame, parameters: list[str], by: list[str] | None = None, score: str = "objective_score", minimum: int = 10) -> DataFrame:
     """``(parameter, sensitivity)``: |corr| with the objective; groups with fewer than ten trials give nothing."""
     by = by or []
-    wide = _by(history, by).agg(F.count(F.lit(1)).alias("_n"), *[F.corr(F.col(p).cast("double"), F.col(score)).alias(f"_r{i}") for i, p in enumerate(parameters)])
+    wide = _by(history, by).agg(F.count(F.lit(1)).alias("_n"), *[correlation(p, score).alias(f"_r{i}") for i, p in enumerate(parameters)])
     value = lambda i: F.coalesce(F.nanvl(F.abs(F.col(f"_r{i}")), F.lit(0.0)), F.lit(0.0))
     cells = [F.struct(F.lit(p).alias("parameter"), value(i).alias("sensitivity")) for i, p in enumerate(parameters)]
     return wide.filter(F.col("_n") >= minimum).select(*by, F.inline(F.array(*cells)))

@@ -16,7 +16,7 @@ from . import domains
 from .columns import datetime_to_epoch, impute
 from .joins import lookup
 from .ranking import prefix_sums
-from .stats import numeric_summary, value_counts
+from .stats import correlation, numeric_summary, value_counts
 
 ROW = "row_id"
 
@@ -124,7 +124,7 @@ def fit_gaussian_copula(df: DataFrame) -> Copula:
         table = one.select(F.col("value").alias(c), probit(F.col("mid")).alias(f"_z{i}"), "n")
         scored = lookup(scored, c, table, f"_z{i}", "n", facts[c]["t"], domains.MAX_BROADCAST, facts[c]["k"])
     pairs = [(i, j) for i in range(len(numbers)) for j in range(i)]
-    row = scored.agg(*[F.corr(f"_z{i}", f"_z{j}").alias(f"r{i}_{j}") for i, j in pairs], F.count(F.lit(1)).alias("n")).first()
+    row = scored.agg(*[correlation(f"_z{i}", f"_z{j}").alias(f"r{i}_{j}") for i, j in pairs], F.count(F.lit(1)).alias("n")).first()
     matrix = np.eye(len(numbers))
     for i, j in pairs:
         r = row[f"r{i}_{j}"]

@@ -405,6 +405,13 @@ def test_convergence_and_sensitivity(spark):
     assert search.parameter_sensitivity(history, ["epsilon"]).count() == 0
 
 
+def test_sensitivity_of_parameters_that_do_not_vary(spark):
+    rows = [("a", 1.0, float(i % 3), float(i % 3)) for i in range(12)] + [("b", float(i), 0.1, 0.3) for i in range(12)] + [("c", 0.1, 0.1, 0.1)] * 2
+    history = frame(spark, rows, "search string, epsilon double, delta double, objective_score double")
+    found = {(r["search"], r["parameter"]): r["sensitivity"] for r in search.parameter_sensitivity(history, ["epsilon", "delta"], ["search"]).collect()}
+    assert found == {("a", "epsilon"): 0.0, ("a", "delta"): pytest.approx(1.0), ("b", "epsilon"): 0.0, ("b", "delta"): 0.0}
+
+
 def test_domain_counts_null_as_a_value(spark):
     df = frame(spark, [("b",), (None,), ("a",), ("b",)], "v string")
     d = domains.fit_domain(df, "v")
