@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -445,3 +446,23 @@ def test_membership_features_without_reference_and_with_equal_queries(spark):
     some = attacks.membership_features(asked, asked, ["a", "c"], "id").orderBy("id").collect()
     assert [(r["id"], r["d_min"]) for r in some] == [(1, 0.0), (1, 0.0), (2, 1.0)]
     assert attacks.membership_features(asked.where("id > 9"), asked, ["a", "c"], "id").count() == 0
+
+
+def test_membership_counts_are_one_row_for_a_block_and_a_part(spark, monkeypatch):
+    from cloakframe.operators import distances
+
+    rng = np.random.default_rng(3)
+    q = pd.DataFrame({"row": range(50), "n0": rng.normal(size=50), "prefix": [[0, 0]] * 50})
+    out = distances._counter(["n0"], [], 0)((4, 2), q, pd.DataFrame({"row": range(900), "n0": rng.normal(size=900)}))
+    assert len(out) == 1 and (out["block"][0], out["part"][0]) == (4, 2)
+    # equal queries, several parts and as many narrowing passes as there can be
+    monkeypatch.setattr(distances, "REFERENCE_PART", 300)
+    monkeypatch.setattr(distances, "_LISTED", 0)
+    ref = [float(v) for v in rng.exponential(size=700)] + [2.0] * 300
+    asked = [(i, None if i % 3 == 0 else 2.0 if i % 3 == 1 else float(i)) for i in range(30)]
+    found = attacks.membership_features(frame(spark, asked, "id int, a double"), frame(spark, [(v,) for v in ref], "a double"), ["a"], "id").collect()
+    assert sorted(r["id"] for r in found) == list(range(30))
+    for row in found:
+        v = asked[row["id"]][1]
+        d = np.ones(1000) if v is None else np.abs(np.array(ref) - v) / np.maximum(np.array(ref), v)
+        assert tuple(row)[1:] == pytest.approx((d.min(), d.mean(), d.std(), np.percentile(d, 25), np.percentile(d, 75)), abs=1e-7)
