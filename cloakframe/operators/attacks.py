@@ -243,10 +243,16 @@ def membership_risk(
     n = min(sample, original.count())
     members = exact_sample(original, n // 2, [key], salt, "member").select(F.col(key).cast("string").alias("qid"), *columns)
     outsiders = non_member_rows(original, n // 2, salt, columns).withColumn("qid", F.concat(F.lit("n"), F.col("row_id").cast("string")))
-    parts = []
-    for rows, label in ((members, 1.0), (outsiders, 0.0)):
-        parts.append(membership_features(rows, derived, columns, "qid").withColumn("label", F.lit(label)))
-    accuracy, auc, importance = _forest(parts[0].unionByName(parts[1]), FEATURES, "label", salt, "qid", trees, 2)
+    sides = ((members, 1.0), (outsiders, 0.0))
+    number = lambda df, c: c in df.columns and roles.is_numeric(df.schema[c].dataType)
+    kinds = [["double" if number(rows, c) and number(derived, c) else "string" for c in columns] for rows, _ in sides]
+    if kinds[0] == kinds[1]:  # both sides in one call; as they are compared the same way
+        both = [rows.select(F.struct(F.lit(label).alias("label"), "qid").alias("who"), *[F.col(c).cast(t).alias(c) for c, t in zip(columns, kinds[0])]) for rows, label in sides]
+        labelled = membership_features(both[0].unionByName(both[1]), derived, columns, "who").select("who.qid", *FEATURES, "who.label")
+    else:
+        parts = [membership_features(rows, derived, columns, "qid").withColumn("label", F.lit(label)) for rows, label in sides]
+        labelled = parts[0].unionByName(parts[1])
+    accuracy, auc, importance = _forest(labelled, FEATURES, "label", salt, "qid", trees, 2)
     row = [("membership", accuracy, auc, accuracy - 0.5, 0.5, n, dict(zip(FEATURES, importance)))]
     schema = "attack_type string, accuracy double, auc_score double, attack_advantage double, baseline_accuracy double, sample_size bigint, feature_importance map<string,double>"
     out = original.sparkSession.createDataFrame(row, schema)

@@ -286,3 +286,25 @@ def test_registered_plans_run_every_attack(spark, monkeypatch):
     monkeypatch.setattr("cloakframe.catalog.search.run_search", recorded)
     assert queries()["optimize"](spark, "/root/testdata/sf0.001").count() == 1
     assert asked == [every]
+
+
+def test_trials_run_side_by_side_and_stay_in_order(spark, monkeypatch):
+    import threading
+    from types import SimpleNamespace
+
+    from cloakframe.plans import optimize as plan
+
+    met = threading.Barrier(3, timeout=20)
+
+    def trial(df, method, key, salt, epsilon, *args, **options):
+        met.wait()  # three trials have to be under way at once
+        one = lambda **v: SimpleNamespace(first=lambda: v)
+        return SimpleNamespace(privacy=one(re_identification_risk=epsilon / 20), attacks=SimpleNamespace(collect=list), overall=one(overall_risk_score=epsilon / 20),
+                               utility=SimpleNamespace(first=lambda: [0.5]))
+
+    monkeypatch.setattr(plan, "anonymize", trial)
+    monkeypatch.setattr(plan, "TRIALS_AT_ONCE", 3)
+    found = plan.optimize(spark.range(3), "dp", "id", "s", level="low", max_iterations=6)
+    rows = sorted(found.history.collect(), key=lambda r: r["iteration"])
+    assert [(r["iteration"], r["parameters"]["epsilon"], r["privacy_score"]) for r in rows] == [(i, e, e / 20) for i, e in enumerate([5.0] * 3 + [7.0] * 3)]
+    assert found.best == {"epsilon": 5.0, "delta": 1e-5} and not found.failures
