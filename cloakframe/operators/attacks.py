@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .neighbors import nearest
 from .stats import numeric_summary
 
 LINK_THRESHOLD = 0.8
+FOREST_ALONE = 131_072  # rows up to which a forest takes the partitions it finds
+FOREST_ROWS = 65_536  # rows of a task beyond that: with 100 trees the forest keeps about 500 bytes a row in memory
 
 
 # ---- keyed samples -----------------------------------------------------------------
@@ -215,16 +218,29 @@ def non_member_rows(df: DataFrame, n: int, salt: str, columns: Sequence[str] | N
 FEATURES = ["d_min", "d_mean", "d_std", "d_p25", "d_p75"]
 
 
+def _dealt(vectors: DataFrame, rows: int) -> DataFrame:
+    """``vectors`` in even tasks of about ``FOREST_ROWS``, each in a fixed order, whatever files they came from.
+
+    The forest draws its bootstrap by partition and place, so the order has to be the same in every run.
+    """
+    if rows <= FOREST_ALONE:
+        return vectors
+    return vectors.repartition(-(-rows // FOREST_ROWS)).sortWithinPartitions("_u", "_label", vector_to_array("_features"))
+
+
 def _forest(data: DataFrame, features: Sequence[str], label: str, salt: str, id_column: str, trees: int, classes: int):
     """Keyed 70/30 split, random forest; returns (accuracy, auc or None, importances)."""
     vectors = VectorAssembler(inputCols=list(features), outputCol="_features").transform(data)
     vectors = vectors.select("_features", F.col(label).cast("double").alias("_label"), uniform(salt, "split", [id_column]).alias("_u"))
     vectors = materialize(vectors, "features")
-    top = int(vectors.agg(F.coalesce(F.max("_label"), F.lit(0.0))).first()[0]) + 1
+    facts = vectors.agg(
+        F.coalesce(F.max("_label"), F.lit(0.0)).alias("top"), F.count_if(F.col("_u") < 0.7).alias("seen"), F.count_if(F.col("_u") >= 0.7).alias("held")
+    ).first()
+    top = int(facts["top"]) + 1
     if top > 100:  # more labels than the classifier assumes by itself have to be declared
         vectors = vectors.withMetadata("_label", {"ml_attr": {"type": "nominal", "name": "_label", "num_vals": top}})
-    model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, seed=42).fit(vectors.filter("_u < 0.7"))
-    scored = model.transform(vectors.filter("_u >= 0.7"))
+    model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, seed=42).fit(_dealt(vectors.filter("_u < 0.7"), facts["seen"]))
+    scored = model.transform(_dealt(vectors.filter("_u >= 0.7"), facts["held"]))
     accuracy = scored.agg(F.avg((F.col("prediction") == F.col("_label")).cast("double")).alias("a")).first()["a"]
     auc = None
     if classes == 2:

@@ -466,3 +466,42 @@ def test_membership_counts_are_one_row_for_a_block_and_a_part(spark, monkeypatch
         v = asked[row["id"]][1]
         d = np.ones(1000) if v is None else np.abs(np.array(ref) - v) / np.maximum(np.array(ref), v)
         assert tuple(row)[1:] == pytest.approx((d.min(), d.mean(), d.std(), np.percentile(d, 25), np.percentile(d, 75)), abs=1e-7)
+
+
+def test_a_forest_is_fitted_in_even_tasks(spark, monkeypatch):
+    monkeypatch.setattr(attacks, "FOREST_ALONE", 200)
+    monkeypatch.setattr(attacks, "FOREST_ROWS", 100)
+    sizes, fit = [], attacks.RandomForestClassifier.fit
+
+    def recorded(self, rows):
+        sizes.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, rows)
+
+    monkeypatch.setattr(attacks.RandomForestClassifier, "fit", recorded)
+    df = spark.range(1500).coalesce(1).select("id", (F.col("id") % 3).cast("string").alias("target"), (F.col("id") % 3).cast("double").alias("a"))
+    found = [attacks.attribute_risk(df, "id", "s", ["target"], trees=5).first() for _ in range(2)]
+    assert found[0] == found[1] and found[0]["accuracy"] == 1.0
+    assert sum(sizes[0]) > 900 and len(sizes[0]) == -(-sum(sizes[0]) // 100) and max(sizes[0]) <= 100
+
+
+def test_counts_of_many_parts_meet_in_two_steps(spark, monkeypatch):
+    from cloakframe.operators import distances
+
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("a"), F.concat(F.lit("c"), F.col("id") % 3).alias("c"))
+    asked = df.where("k % 20 = 0")
+    whole = attacks.membership_features(asked, df, ["a", "c"], "k").orderBy("k").collect()
+    monkeypatch.setattr(distances, "REFERENCE_PART", 8)  # 50 parts
+    narrower = distances._narrower
+
+    def few(ranks, level, state):
+        narrow = narrower(ranks, level, state)
+
+        def checked(q, found):
+            assert len(found) <= 8, f"{len(found)} rows of counts in one task"
+            return narrow(q, found)
+
+        return checked
+
+    monkeypatch.setattr(distances, "_narrower", few)
+    split = attacks.membership_features(asked, df, ["a", "c"], "k").orderBy("k").collect()
+    assert [tuple(r) for r in split] == [pytest.approx(tuple(r)) for r in whole]
