@@ -32,13 +32,13 @@ ALONE_POINTS = 8_192  # up to here one leaf of all points is cheaper than rounds
 TOP_CELLS = 4_096
 CELL_LEAVES = 64  # leaves of a cell, unless there are more than TOP_CELLS cells of that size
 CHUNK_QUERIES = 4_096
-ROUTED_ROWS = 200_000  # rows that look for their leaf in one task
+ROUTED_ROWS = 50_000  # rows that look for their leaf in one task
 FIRST_LEAVES = 4
 WIDEN = 4
 BROADCAST_ROWS = 10_000  # of (leaf, number): 16 bytes each
 _HASH_SPACE = 1 << 30
 _BLOCK = 512
-_BLOCK_CELLS = 1 << 22
+_BLOCK_CELLS = 1 << 16  # distances at once: buffers of this size stay in the processor's cache
 _SHIFT = 32  # a leaf's number: that of its cell, then its own
 
 
@@ -138,13 +138,15 @@ class Tree:
     only: Leaves | None
     below: DataFrame | None
 
-    def visits(self, rows: DataFrame, types: str, nearby: bool) -> DataFrame:
-        """Leaves of each ``rows(id, vec, d2, ...)``: its own, or (``nearby``) those within ``d2`` with their ``gap``.
+    def visits(self, rows: DataFrame, types: str, nearby: bool, take: int = 0) -> DataFrame:
+        """The own leaf of each ``rows(id, vec, ...)``, or (``nearby``) its next leaves within ``d2``.
 
-        ``types``: the columns of ``rows``. Rows meet the subtree of a cell in tasks of about ``ROUTED_ROWS``.
+        Those are the first ``take`` in order of (gap, number) after its ``far`` and ``last``, but for its ``home``. A query gets them
+        from each cell it meets; the first row of a cell says in ``many`` how many there are. ``types``: the columns of ``rows``.
+        Rows meet the subtree of a cell in tasks of about ``ROUTED_ROWS``.
         """
         names = rows.columns
-        fields = f"{types}, leaf bigint, gap double"
+        fields = f"{types}, leaf bigint, gap double, many bigint"
 
         def found(pdf: pd.DataFrame, tree: Leaves, cell: int) -> pd.DataFrame:
             vec = _matrix(pdf["vec"]) if len(pdf) else np.zeros((0, tree.low.shape[1]))
@@ -153,8 +155,18 @@ class Tree:
                 at, leaf, gap = tree.within(vec, pdf["d2"].to_numpy() * (1 + 1e-12))
             else:
                 at, leaf, gap = np.arange(len(vec)), tree.own(vec), np.zeros(len(vec))
-            out = pdf[names].take(at)
-            return out.assign(leaf=(np.int64(cell) << _SHIFT) + leaf.astype("int64"), gap=gap)
+            leaf, many = (np.int64(cell) << _SHIFT) + leaf.astype("int64"), np.ones(len(at), dtype=np.int64)
+            if nearby:
+                home, far, last = (pdf[c].to_numpy()[at] for c in ("home", "far", "last"))
+                # what a query has seen is what comes before its last leaf
+                ahead = np.flatnonzero((leaf != home) & ((gap > far) | ((gap == far) & (leaf > last))))
+                ahead = ahead[np.lexsort((leaf[ahead], gap[ahead], at[ahead]))]
+                at, leaf, gap = at[ahead], leaf[ahead], gap[ahead]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                many = np.where(place == 0, np.bincount(at, minlength=len(vec))[at], 0)
+                first = place < take
+                at, leaf, gap, many = at[first], leaf[first], gap[first], many[first]
+            return pdf[names].take(at).assign(leaf=leaf, gap=gap, many=many)
 
         if self.only is not None:
             only = self.only
@@ -173,7 +185,7 @@ class Tree:
         # one row per cell: TOP_CELLS at most
         parts = {r["cell"]: -(-r["n"] // ROUTED_ROWS) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not parts:
-            return rows.sparkSession.createDataFrame([], asked.drop("cell").schema.add("leaf", "long").add("gap", "double"))
+            return rows.sparkSession.createDataFrame([], asked.drop("cell").schema.add("leaf", "long").add("gap", "double").add("many", "long"))
         counts = F.broadcast(rows.sparkSession.createDataFrame(list(parts.items()), "cell int, parts int"))
         left = asked.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.col("parts")).cast("int"))
         right = self.below.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -224,11 +236,16 @@ def _closest(points: pd.DataFrame, refs: pd.DataFrame, others_only: bool) -> pd.
     order = np.argsort(rid, kind="stable")
     r, rid, single = r[order], rid[order], single[order]
     step = max(1, min(_BLOCK, _BLOCK_CELLS // len(r)))
+    sides = [np.ascontiguousarray(r[:, j]) for j in range(q.shape[1])]
+    total, gaps = np.empty((step, len(r))), np.empty((step, len(r)))
     for start in range(0, len(q), step):
         block = q[start : start + step]
-        d2 = np.zeros((len(block), len(r)))
-        for j in range(q.shape[1]):
-            d2 += (block[:, j : j + 1] - r[None, :, j]) ** 2
+        d2, gap = total[: len(block)], gaps[: len(block)]
+        d2.fill(0.0)
+        for j, side in enumerate(sides):
+            np.subtract(block[:, j : j + 1], side, out=gap)
+            np.multiply(gap, gap, out=gap)
+            d2 += gap
         if others_only:
             d2[(d2 == 0.0) & single[None, :]] = np.inf
         at = d2.argmin(axis=1)
@@ -291,7 +308,7 @@ def nearest(queries: DataFrame, refs: DataFrame, others_only: bool = False) -> D
     id_type = types[0]
     homes = tree.visits(points.select(F.col("rid").alias("id"), "vec", "copies"), f"id {types[1]}, vec array<double>, copies bigint", nearby=False)
     leaves = materialize(homes.select(F.col("id").alias("rid"), "vec", "copies", "leaf"), "leaves")
-    active = materialize(tree.visits(asking, f"id {id_type}, vec array<double>", nearby=False).withColumnRenamed("leaf", "home").drop("gap"), "homes")
+    active = materialize(tree.visits(asking, f"id {id_type}, vec array<double>", nearby=False).withColumnRenamed("leaf", "home").drop("gap", "many"), "homes")
     found = materialize(_search(active.withColumnRenamed("home", "leaf"), leaves, others_only, types, few), "found")
     everything = found
     # an empty leaf, or one that holds only the query itself, bounds nothing
@@ -299,11 +316,8 @@ def nearest(queries: DataFrame, refs: DataFrame, others_only: bool = False) -> D
     active = bounded.select("id", "vec", "home", "d2", F.lit(-1.0).alias("far"), F.lit(-1).cast("bigint").alias("last"))
     state, take = f"id {id_type}, vec array<double>, home bigint, d2 double, far double, last bigint", FIRST_LEAVES
     while True:
-        near = tree.visits(active, state, nearby=True)
-        # leaves are visited in order of (gap, number): what a query has seen is what comes before its last one
-        ahead = near.filter((F.col("leaf") != F.col("home")) & ((F.col("gap") > F.col("far")) | ((F.col("gap") == F.col("far")) & (F.col("leaf") > F.col("last")))))
-        by_query = Window.partitionBy("id")
-        ahead = ahead.withColumn("_k", F.row_number().over(by_query.orderBy("gap", "leaf"))).withColumn("_of", F.count(F.lit(1)).over(by_query))
+        ahead, by_query = tree.visits(active, state, True, take), Window.partitionBy("id")
+        ahead = ahead.withColumn("_k", F.row_number().over(by_query.orderBy("gap", "leaf"))).withColumn("_of", F.sum("many").over(by_query)).drop("many")
         ahead = materialize(ahead.filter(F.col("_k") <= take), "ahead")
         most = ahead.agg(F.max("_of").alias("most")).first()["most"]
         if most is None:

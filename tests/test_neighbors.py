@@ -90,3 +90,17 @@ def test_cells_are_bounded_and_split_in_the_cluster(spark, monkeypatch):
     homes = tree.visits(points.select(F.col("rid").alias("id"), "vec"), "id bigint, vec array<double>", nearby=False)
     sizes = [r["count"] for r in homes.groupBy("leaf").count().collect()]
     assert sum(sizes) == 2_000 and max(sizes) <= 4 * 8
+
+
+def test_a_query_takes_only_the_leaves_of_its_round(spark, small_tree):
+    rng = np.random.default_rng(11)
+    tree = neighbors.plant(frame(spark, rng.uniform(size=(600, 2)), "rid"), 600)
+    state = "id bigint, vec array<double>, home bigint, d2 double, far double, last bigint"
+    asked = spark.createDataFrame([(i, [float(x) for x in p], -1, 9.0, -1.0, -1) for i, p in enumerate(rng.uniform(size=(20, 2)))], state)
+    found = lambda take: tree.visits(asked, state, True, take).withColumn("cell", F.shiftright("leaf", 32)).toPandas()
+    every, few = found(1_000), found(2)
+    assert len(every) == every["many"].sum() == few["many"].sum() and len(every) > 20 * 8
+    assert (few.groupby(["id", "cell"]).size() <= 2).all()
+    nearest_two = every.sort_values(["gap", "leaf"]).groupby(["id", "cell"]).head(2)
+    rows = lambda df: sorted(zip(df["id"], df["leaf"], df["gap"]))
+    assert rows(nearest_two) == rows(few)
