@@ -5,7 +5,8 @@ null. Its distinct keys
 (40 bits of a hash) are sent to ranges of keys, delta coded, one row per shard and
 range; a range adds up the counts of all shards and answers each shard with one
 code per key. Both sides are counted before they are sent, so a key found
-everywhere costs one entry per shard. Two keys that fall together share a count,
+everywhere costs one entry per shard. Rows between them are shards times ranges,
+so neither may be small where the documents are many. Two keys that fall together share a count,
 which may be too high but never too low.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .base import width_for
 from .text import as_bytes, settled
 
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 8_000_000
+MOST_SHARDS = 1024  # of a wide session over few bytes
+RANGE_BYTES = 16_000_000
 KEY_BITS = 40
 NO_ID = (1 << 63) - 1
 _codec = pa.Codec("zstd", compression_level=3)
@@ -55,7 +58,8 @@ class Shards:
 def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Shards:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("long")).first()[0]
     spark = docs.sparkSession
-    count = max(4 * width_for(spark, 0, 1), -(-total // shard_bytes))
+    width = width_for(spark, 0, 1)
+    count = max(width, min(4 * width, MOST_SHARDS), -(-total // shard_bytes))
     return Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(count)).cast("int")), count, total)
 
 
@@ -80,9 +84,9 @@ def parts(texts: list[bytes], budget: int = 1_000_000) -> Iterator[tuple[int, li
 
 
 def by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of keys by (range, key), the ranges that occur, and where each begins and the last ends."""
-    which = keys % np.uint64(ranges)
-    order = np.lexsort((keys, which))
+    """Order of ascending keys by (range, key), the ranges that occur, and where each begins and the last ends."""
+    which = (keys % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+    order = np.argsort(which, kind="stable")
     found, first = np.unique(which[order], return_index=True)
     return order, found.astype(np.int64), np.append(first, len(keys))
 
@@ -90,7 +94,7 @@ def by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.
 def census(shards: Shards, keys_of: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]], code_of: Callable[[np.ndarray], np.ndarray], ranges: int) -> DataFrame:
     """``shard, range, codes``: the code of the corpus count of each distinct key of a shard.
 
-    ``keys_of(ids, texts)`` gives a shard's distinct keys and their counts; ``code_of``
+    ``keys_of(ids, texts)`` gives a shard's distinct keys, ascending, and their counts; ``code_of``
     turns corpus counts into codes below 256. Codes follow the keys in order of (range, key).
     """
 

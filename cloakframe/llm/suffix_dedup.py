@@ -4,7 +4,7 @@ Two documents can share a string of ``LENGTH`` bytes only if they share the
 smallest hash among its ``GRAM``-byte grams. So each document is cut into pieces,
 runs of string starts with the same smallest hash, and only pieces whose hash a
 census finds in two documents or more go on: equal pieces of a shard as one, to the
-range of their hash. There, pieces are cut into blocks of bounded size. The
+range of their hash. There, in turns, pieces are cut into blocks of bounded size. The
 suffixes of a block that start a string are sorted to that depth by refinement of
 unsorted groups (Larsson and Sadakane), Kasai's walk gives the common prefix of
 neighbours, and prefixes of ``LENGTH`` or more join strings into classes with a
@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shards import KEY_BITS, census, codes_of, in_order, packed, parts, sharded, unpacked
+from .shards import KEY_BITS, RANGE_BYTES, census, codes_of, in_order, packed, parts, sharded, unpacked
 from .text import Scan, distinct, owner, settled
 
 LENGTH = 50
 GRAM = 20
 LONGEST_RUN = 256  # string starts in a piece
-HOT = 512  # documents of a hash above which its strings are dealt out one by one
+HOT = 16_384  # documents of a hash above which its strings are dealt out one by one, each with all its bytes
 BLOCK = 2_000_000  # bytes of pieces in a suffix array, at most 2**21 with the last piece
-RANGE_BYTES = 4_000_000
+MATCH_BYTES = 4_000_000  # of the documents' text, matched at a time; a range is matched in turns
+PART_BYTES = 100_000  # of text cut into pieces at a time
 _SHIFT = np.uint64(64 - KEY_BITS)
 
 
@@ -68,7 +69,7 @@ def pieces(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _keys(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found = []
-    for _, part in parts(texts):
+    for _, part in parts(texts, PART_BYTES):
         _, _, key, doc = pieces(Scan(part))
         found.append(distinct(doc, key)[1])
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -101,16 +102,16 @@ def _take(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return buf[start[own] + np.arange(len(own)) - (np.cumsum(size) - size)[own]]
 
 
-def _sender(ranges: int):
+def _sender(ranges: int, turns: int):
     def send(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, texts = in_order(docs)
-        known, _ = _keys(ids, texts)
-        kind = codes_of(known, answers, ranges)
+        cut = [(base, part, *pieces(Scan(part))) for base, part in parts(texts, PART_BYTES)]
+        known, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for *_, k, _ in cut]]), return_inverse=True)
+        kind, done = codes_of(known, answers, ranges)[place], 0
         out = {n: [] for n in ("text", "starts", "hash", "range", "id", "doc", "place")}
-        for base, part in parts(texts):
+        for base, part, at, n, k, doc in cut:
             scan = Scan(part)
-            at, n, k, doc = pieces(scan)
-            code = kind[np.searchsorted(known, k)]
+            code, done = kind[done : done + len(k)], done + len(k)
             hot = np.flatnonzero(code == 2)
             own = owner(n[hot])
             single = at[hot][own] + np.arange(len(own)) - (np.cumsum(n[hot]) - n[hot])[own]
@@ -119,7 +120,7 @@ def _sender(ranges: int):
             docs_ = np.concatenate([doc[warm], doc[hot][own]])
             n = np.concatenate([n[warm], np.ones(len(single), np.int64)])
             h = scan.hashes(at, at + n + LENGTH - 1)
-            where = np.concatenate([k[warm], h[warm.sum() :] >> _SHIFT]) % np.uint64(ranges)
+            where = np.concatenate([k[warm], h[warm.sum() :] >> _SHIFT]) % np.uint64(ranges * turns)
             for name, value in (("text", _take(scan.buf, at, n + LENGTH - 1)), ("starts", n), ("hash", h), ("range", where),
                                 ("id", ids[base + docs_]), ("doc", base + docs_), ("place", at - scan.start[docs_])):
                 out[name].append(value)
@@ -128,18 +129,19 @@ def _sender(ranges: int):
         size = n + LENGTH - 1
         begin = np.cumsum(size) - size
         first = same_strings(all_["text"], begin, size, all_["hash"]) if len(n) else n
-        order = np.lexsort((np.arange(len(n)), first, all_["range"]))
-        found, edge = np.unique(all_["range"][order], return_index=True)
+        order = np.lexsort((first, all_["range"]))
+        which = all_["range"].astype(np.int64)
+        found, edge = np.unique(which[order] // turns, return_index=True)
         rows = []
         for a, b in pairwise([*edge, len(n)]):
             some = order[a:b]
             lead = some[first[some] == some]
             times = np.diff(np.append(np.flatnonzero(first[some] == some), len(some)))
-            rows.append((packed(n[lead].astype("<u2")), packed(times.astype("<u4")), packed(np.diff(all_["id"][some], prepend=0)),
+            rows.append((packed((which[lead] % turns).astype("<u2")), packed(n[lead].astype("<u2")), packed(times.astype("<u4")), packed(np.diff(all_["id"][some], prepend=0)),
                          packed(np.diff(all_["doc"][some], prepend=0).astype("<i4")), packed(all_["place"][some].astype("<u4")),
                          packed(_take(all_["text"], begin[lead], size[lead]))))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        names = ("starts", "times", "id", "doc", "place", "text")
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        names = ("turn", "starts", "times", "id", "doc", "place", "text")
         shard = key[0].as_py()
         return pa.table({"range": pa.array(found.astype(np.int64)), "shard": pa.array([shard] * len(found), pa.int32()), **{k: pa.array(list(c), pa.binary()) for k, c in zip(names, columns, strict=True)}})
 
@@ -318,6 +320,18 @@ def _left(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(begin + size, size) - np.arange(n)
 
 
+def _smallest_grams(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash that a piece was cut by: the smallest one of its first string, a part of the bytes at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // PART_BYTES)) + 1):
+        if len(own):
+            scan, low = Scan([]), begin[own[0]]
+            scan.buf = buf[low : begin[own[-1]] + size[own[-1]]]
+            h = scan.grams(GRAM) >> _SHIFT
+            out.append(h[(begin[own] - low)[:, None] + np.arange(LENGTH - GRAM + 1)].min(axis=1))
+    return np.concatenate(out)
+
+
 def _hashes(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each piece, a million bytes at a time."""
     out = [np.zeros(0, np.uint64)]
@@ -329,39 +343,59 @@ def _hashes(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _gone(starts: np.ndarray, times: np.ndarray, buf: np.ndarray, ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts whose string a smaller id holds, of every occurrence: its number, the first and the last start.
+
+    ``starts`` and ``times`` (occurrences) are of the pieces in ``buf``, ``ids`` of the occurrences.
+    """
+    size = starts + LENGTH - 1
+    begin = np.cumsum(size) - size
+    first = same_strings(buf, begin, size, _hashes(buf, begin, size))
+    lead = np.flatnonzero(first == np.arange(len(first)))
+    piece = np.searchsorted(lead, first)[owner(times)]  # of each occurrence
+    least = np.full(len(lead), np.iinfo(np.int64).max)
+    np.minimum.at(least, piece, ids)
+    n = starts[lead]
+    # a piece without another one of its hash shares its strings with no other
+    found, offset = np.repeat(least, n), np.cumsum(n) - n
+    _, kind, kinds = np.unique(_smallest_grams(buf, begin[lead], size[lead]), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(kinds[kind] > 1)
+    if len(some):
+        own = owner(n[some])
+        at = offset[some][own] + np.arange(len(own)) - (np.cumsum(n[some]) - n[some])[own]
+        text, size = _take(buf, begin[lead[some]], size[lead[some]]), size[lead[some]]
+        found[at] = smallest_ids(text, np.cumsum(size) - size, n[some], least[some], block)
+    out = []
+    for a in range(0, len(piece), 100_000):
+        p = piece[a : a + 100_000]
+        own = owner(n[p])
+        step = np.arange(len(own)) - (np.cumsum(n[p]) - n[p])[own]
+        gone = found[offset[p][own] + step] < ids[a : a + 100_000][own]
+        new = gone.copy()
+        new[1:] &= ~gone[:-1] | (own[1:] != own[:-1])
+        end = gone.copy()
+        end[:-1] &= ~gone[1:] | (own[1:] != own[:-1])
+        out.append((a + own[new], step[new], step[end]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _match(block: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
-        cols = {n: [unpacked(x, t) for x in table.column(n).to_pylist()] for n, t in (("starts", "<u2"), ("times", "<u4"), ("id", "<i8"), ("doc", "<i4"), ("place", "<u4"), ("text", "u1"))}
+        cols = {n: [unpacked(x, t) for x in table.column(n).to_pylist()] for n, t in (("turn", "<u2"), ("starts", "<u2"), ("times", "<u4"), ("id", "<i8"), ("doc", "<i4"), ("place", "<u4"), ("text", "u1"))}
         shard = np.repeat(table.column("shard").to_numpy(), [len(x) for x in cols["place"]])
         ids = np.concatenate([np.cumsum(x) for x in cols["id"]])
         doc = np.concatenate([np.cumsum(x, dtype=np.int64) for x in cols["doc"]])
-        starts, times, place, buf = (np.concatenate(cols[n]) for n in ("starts", "times", "place", "text"))
-        starts = starts.astype(np.int64)
+        turn, starts, times, place, buf = (np.concatenate(cols.pop(n)) for n in ("turn", "starts", "times", "place", "text"))
+        starts, times = starts.astype(np.int64), times.astype(np.int64)
         size = starts + LENGTH - 1
         begin = np.cumsum(size) - size
-        first = same_strings(buf, begin, size, _hashes(buf, begin, size))
-        lead = np.flatnonzero(first == np.arange(len(first)))
-        piece = np.searchsorted(lead, first)[owner(times.astype(np.int64))]  # of each occurrence
-        least = np.full(len(lead), np.iinfo(np.int64).max)
-        np.minimum.at(least, piece, ids)
-        text, n = _take(buf, begin[lead], size[lead]), starts[lead]
-        begin = np.cumsum(size[lead]) - size[lead]
-        found = smallest_ids(text, begin, n, least, block)
-        # every occurrence: the starts whose string a smaller id holds, as runs
-        offset, out = np.cumsum(n) - n, []
-        for a in range(0, len(piece), 100_000):
-            p = piece[a : a + 100_000]
-            own = owner(n[p])
-            step = np.arange(len(own)) - (np.cumsum(n[p]) - n[p])[own]
-            gone = found[offset[p][own] + step] < ids[a : a + 100_000][own]
-            new = gone.copy()
-            new[1:] &= ~gone[:-1] | (own[1:] != own[:-1])
-            end = gone.copy()
-            end[:-1] &= ~gone[1:] | (own[1:] != own[:-1])
-            o, low, high = own[new], step[new], step[end]
-            at = place[a : a + 100_000][o].astype(np.int64)
-            out.append((shard[a : a + 100_000][o], doc[a : a + 100_000][o], at + low, at + high + LENGTH))
+        turn_of, out = np.repeat(turn, times), []
+        for t in np.unique(turn):
+            piece, at = np.flatnonzero(turn == t), np.flatnonzero(turn_of == t)
+            own, low, high = _gone(starts[piece], times[piece], _take(buf, begin[piece], size[piece]), ids[at], block)
+            where = place[at[own]].astype(np.int64)
+            out.append((shard[at[own]], doc[at[own]], where + low, where + high + LENGTH))
         where, doc, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((low, doc, where))
         which, edge = np.unique(where[order], return_index=True)
@@ -434,9 +468,10 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, block: int = BLOCK) -
         F.struct(F.lit(0).alias("none"), *[F.col(c) for c in others]).alias("others"))  # out of the way of names used here
     shards = sharded(base)
     ranges = shards.ranges(RANGE_BYTES)
+    turns = max(1, -(-shards.bytes // (ranges * MATCH_BYTES)))
     counts = census(shards, _keys, _kind, ranges)
     sent = shards.docs.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(
-        settled(_sender(ranges)), "range long, shard int, starts binary, times binary, id binary, doc binary, place binary, text binary")
+        settled(_sender(ranges, turns)), "range long, shard int, turn binary, starts binary, times binary, id binary, doc binary, place binary, text binary")
     spans = sent.groupBy("range").applyInArrow(settled(_match(block)), "shard int, doc binary, low binary, size binary")
     schema = StructType([*base.schema.fields, *stats.fields])
     found = shards.docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(settled(_remover(base.columns, with_text)), schema)

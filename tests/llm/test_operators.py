@@ -22,7 +22,7 @@ from cloakframe.llm.language_crf import language
 from cloakframe.llm.line_rules import line_rules, strip_lines
 from cloakframe.llm.minimax_shards import minimax_shards
 from cloakframe.llm.quality_svm import quality
-from cloakframe.llm.shards import sharded
+from cloakframe.llm.shards import RANGE_BYTES, sharded
 from cloakframe.llm.source_mix import mixed_texts, source_mix
 from cloakframe.llm.text import Scan, shingles
 from cloakframe.llm.toxicity_bag import toxicity
@@ -148,6 +148,26 @@ def test_suffix_dedup_with_small_blocks_and_hot_strings(spark, monkeypatch):
     check_removed(sd.suffix_dedup(frame(spark, rows), block=2000).collect(), rows)
 
 
+def test_suffix_dedup_matches_ranges_in_turns(spark, monkeypatch, rows):
+    monkeypatch.setattr(sd, "MATCH_BYTES", 2000)
+    check_removed(sd.suffix_dedup(frame(spark, rows)).collect(), rows)
+    assert sd._kind(np.array([513, 10_000])).tolist() == [1, 1]  # in one group: its strings, one by one, hold several times the bytes
+
+
+def test_pieces_alone_in_their_hash_need_no_suffix_array(monkeypatch):
+    rng = np.random.default_rng(5)
+    piece = rng.integers(97, 122, 70).astype(np.uint8)
+    monkeypatch.setattr(sd, "smallest_ids", None)
+    own, low, high = sd._gone(np.array([21, 21]), np.array([1, 2]), np.concatenate([piece, piece]), np.array([7, 3, 9]), sd.BLOCK)
+    assert own.tolist() == [0, 2] and low.tolist() == [0, 0] and high.tolist() == [20, 20]
+
+
+def test_few_rows_between_shards_and_ranges(spark):
+    shards = sharded(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 100_000).alias("text")))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shards.count <= max(4 * width, 300 // 8 + 1) and shards.ranges(RANGE_BYTES) <= max(width, 300 // 16 + 1)
+
+
 def test_kept_text_keeps_whole_characters(spark):
     text = "é" * 60
     rows = [(1, "x" + text, None, None, 1), (2, "ä" + text[:25] + "ö", None, None, 1), (3, None, None, None, None)]
