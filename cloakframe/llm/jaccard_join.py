@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 
 from .base import materialize
 from .components import components, local_roots
-from .shards import KEY_BITS, NO_ID, census, codes_of, in_order, parts, sharded
+from .shards import KEY_BITS, NO_ID, RANGE_BYTES, census, codes_of, in_order, parts, sharded
 from .text import Scan, mix, settled, shingles
 
 FREQUENT = 5  # code of the census (bits of the count) from which tokens count as frequent: 16 sets
 BLOCK_SETS = 256
 BLOCK_TOKENS = 400_000
-RANGE_BYTES = 8_000_000
 _SHIFT = np.uint64(64 - KEY_BITS)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -114,19 +113,17 @@ def signatures(tokens: np.ndarray, code: np.ndarray, per_cent: int) -> np.ndarra
 
 
 def _signer(n: int, per_cent: int, ranges: int):
-    keys = _keys(n)
-
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, texts = in_order(docs)
-        known, _ = keys(ids, texts)
-        codes = codes_of(known, answers, ranges)
+        sets = [(len(part), *token_sets(part, n)) for _, part in parts(texts)]
+        known, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[token for _, _, token in sets]]) >> _SHIFT, return_inverse=True)
+        codes, at = codes_of(known, answers, ranges)[place], 0
         size, one, two, sign, raw = [], [], [], [], []
         seen: set[tuple[int, int, int]] = set()
-        for _, part in parts(texts):
-            doc, token = token_sets(part, n)
-            code = codes[np.searchsorted(known, token >> _SHIFT)]
-            edge = np.searchsorted(doc, np.arange(len(part) + 1))
-            for i in range(len(part)):
+        for count, doc, token in sets:
+            code, at = codes[at : at + len(token)], at + len(token)
+            edge = np.searchsorted(doc, np.arange(count + 1))
+            for i in range(count):
                 own = token[edge[i] : edge[i + 1]]
                 a, b = (int(own.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(own + np.uint64(1))))) if len(own) else (0, 0)
                 mark = (len(own), a, b)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,7 +23,7 @@ from cloakframe.llm.language_crf import language
 from cloakframe.llm.line_rules import line_rules, strip_lines
 from cloakframe.llm.minimax_shards import minimax_shards
 from cloakframe.llm.quality_svm import quality
-from cloakframe.llm.shards import RANGE_BYTES, sharded
+from cloakframe.llm.shards import RANGE_BYTES, packed, sharded
 from cloakframe.llm.source_mix import mixed_texts, source_mix
 from cloakframe.llm.text import Scan, shingles
 from cloakframe.llm.toxicity_bag import toxicity
@@ -298,6 +299,21 @@ def test_jaccard_join_links_the_texts_of_one_doc_id(spark, monkeypatch, block):
     assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (9, 3), (1, 1), (20, 1), (2, 1), (30, 25), (25, 25), (31, 31), (None, None)}
 
 
+def test_signatures_cut_each_text_into_tokens_once(monkeypatch):
+    import cloakframe.llm.jaccard_join as jj
+
+    texts = [b"a b c d e f g h", b"a b c d e f g x", b""]
+    known, counts = jj._keys(2)(np.array([1, 2, 3]), texts)
+    seen, token_sets = [], jj.token_sets
+    monkeypatch.setattr(jj, "token_sets", lambda part, n: seen.extend(part) or token_sets(part, n))
+    answers = pa.table({"range": [0], "codes": pa.array([packed(jj._bits(counts).astype(np.uint8))], pa.binary())})
+    out = jj._signer(2, 70, 1)(pa.table({"doc_id": [1, 2, 3], "text": [t.decode() for t in texts]}), answers)
+    assert seen == texts
+    assert out.column("n").to_pylist() == [7, 7, 0]
+    first, second, none = out.column("signs").to_pylist()
+    assert set(first) & set(second) and none == []
+
+
 @pytest.mark.parametrize("per_cent", [80, 90])
 def test_similar_sets_always_share_a_signature(per_cent):
     rng = np.random.default_rng(per_cent)
