@@ -468,6 +468,32 @@ def test_membership_counts_are_one_row_for_a_block_and_a_part(spark, monkeypatch
         assert tuple(row)[1:] == pytest.approx((d.min(), d.mean(), d.std(), np.percentile(d, 25), np.percentile(d, 75)), abs=1e-7)
 
 
+def test_crowds_of_blocks_meet_a_part_in_one_task(spark, monkeypatch):
+    from cloakframe.operators import distances
+
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("a"), F.concat(F.lit("c"), F.col("id") % 3).alias("c"))
+    asked = df.where("k % 4 = 0")
+    whole = attacks.membership_features(asked, df, ["a", "c"], "k").orderBy("k").collect()
+    monkeypatch.setattr(distances, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(distances, "REFERENCE_PART", 40)
+    monkeypatch.setattr(distances, "TASKS_PER_CORE", 1)  # 10 blocks and 10 runs for 8 tasks: 3 and 3 together
+    monkeypatch.setattr(distances, "_LISTED", 0)
+    narrower = distances._narrower
+
+    def few(ranks, level, state):
+        narrow = narrower(ranks, level, state)
+
+        def checked(q, found):
+            assert len(found) == 4, f"{len(found)} rows of counts of a block"
+            return narrow(q, found)
+
+        return checked
+
+    monkeypatch.setattr(distances, "_narrower", few)
+    split = attacks.membership_features(asked, df, ["a", "c"], "k").orderBy("k").collect()
+    assert [tuple(r) for r in split] == [pytest.approx(tuple(r)) for r in whole]
+
+
 def test_a_forest_is_fitted_in_even_tasks(spark, monkeypatch):
     monkeypatch.setattr(attacks, "FOREST_ALONE", 200)
     monkeypatch.setattr(attacks, "FOREST_ROWS", 100)
